@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pieces, shared
+from . import pieces, secrets, shared
 
 PIECE_MODEL = "piece_bpe_32k.model"
 
@@ -15,9 +15,14 @@ def op2_piece_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(shared.table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_MODEL))
 
 
+def op7_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Find secrets in every document, inside encoded runs too."""
+    return secrets.find(shared.table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     """Every text query, by name."""
-    return {f.__name__: f for f in (op2_piece_tokens,)}
+    return {f.__name__: f for f in (op2_piece_tokens, op7_secret_spans)}
 
 
 def oracle_sql() -> dict[str, str]:
