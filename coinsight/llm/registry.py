@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pieces, secrets, shared
+from . import pieces, recurrent, secrets, shared
 
 PIECE_MODEL = "piece_bpe_32k.model"
 
@@ -20,9 +20,14 @@ def op7_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find(shared.table(spark, sf_dir, "documents"))
 
 
+def op9_recurrent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram and recurrent log10 probability of every document."""
+    return recurrent.score_corpus(shared.table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict:
     """Every text query, by name."""
-    return {f.__name__: f for f in (op2_piece_tokens, op7_secret_spans)}
+    return {f.__name__: f for f in (op2_piece_tokens, op7_secret_spans, op9_recurrent_scores)}
 
 
 def oracle_sql() -> dict[str, str]:
