@@ -35,7 +35,7 @@ def test_network_sums_to_one_and_learns():
     ids = np.arange(len(weight))
     assert abs(np.exp(net.log_probs(np.repeat(h, len(ids), 0), ids).astype(float)).sum() - 1) < 1e-4
     stream = np.tile(np.array([3, 700, 5, 900]), 3000)
-    net.train(stream, epochs=30)
+    net.train(stream, epochs=20, streams=8)
     h = np.zeros((1, recurrent.HIDDEN), np.float32)
     for x in stream[:8]:
         h, _ = net.step(h, np.array([x]))
