@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, pieces, recurrent, secrets, shared
+from . import decontaminate, jaccard, pieces, recurrent, secrets, shared
 
 PIECE_MODEL = "piece_bpe_32k.model"
 
@@ -25,6 +25,11 @@ def op7_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find(shared.table(spark, sf_dir, "documents"))
 
 
+def op8_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a test item, with the item and the overlaps."""
+    return decontaminate.find_leaks(shared.table(spark, sf_dir, "documents"), shared.table(spark, sf_dir, "benchmark"))
+
+
 def op9_recurrent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unigram and recurrent log10 probability of every document."""
     return recurrent.score_corpus(shared.table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -32,7 +37,7 @@ def op9_recurrent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     """Every text query, by name."""
-    return {f.__name__: f for f in (op2_piece_tokens, op5_jaccard_components, op7_secret_spans, op9_recurrent_scores)}
+    return {f.__name__: f for f in (op2_piece_tokens, op5_jaccard_components, op7_secret_spans, op8_benchmark_leaks, op9_recurrent_scores)}
 
 
 def oracle_sql() -> dict[str, str]:
