@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard, pieces, recurrent, secrets, shared
+from . import decontaminate, jaccard, language, pieces, recurrent, secrets, shared
 
 PIECE_MODEL = "piece_bpe_32k.model"
 
@@ -15,6 +15,11 @@ def op2_piece_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(shared.table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_MODEL))
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from three quarters of them."""
+    return language.predict_corpus(shared.table(spark, sf_dir, "documents"))
+
+
 def op5_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 5-word shingle sets reach Jaccard 0.75."""
     return jaccard.linked_components(shared.table(spark, sf_dir, "documents"))
@@ -37,7 +42,7 @@ def op9_recurrent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     """Every text query, by name."""
-    return {f.__name__: f for f in (op2_piece_tokens, op5_jaccard_components, op7_secret_spans, op8_benchmark_leaks, op9_recurrent_scores)}
+    return {f.__name__: f for f in (op2_piece_tokens, op3_language, op5_jaccard_components, op7_secret_spans, op8_benchmark_leaks, op9_recurrent_scores)}
 
 
 def oracle_sql() -> dict[str, str]:
