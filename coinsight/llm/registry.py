@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard, language, pieces, recurrent, secrets, shared
+from . import decontaminate, jaccard, language, pieces, recurrent, secrets, shared, toxicity
 
 PIECE_MODEL = "piece_bpe_32k.model"
 
@@ -20,6 +20,11 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict_corpus(shared.table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from labelled ones."""
+    return toxicity.score_corpus(shared.table(spark, sf_dir, "documents"), shared.table(spark, sf_dir, "labels"))
+
+
 def op5_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 5-word shingle sets reach Jaccard 0.75."""
     return jaccard.linked_components(shared.table(spark, sf_dir, "documents"))
@@ -42,7 +47,7 @@ def op9_recurrent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     """Every text query, by name."""
-    return {f.__name__: f for f in (op2_piece_tokens, op3_language, op5_jaccard_components, op7_secret_spans, op8_benchmark_leaks, op9_recurrent_scores)}
+    return {f.__name__: f for f in (op2_piece_tokens, op3_language, op4_toxicity, op5_jaccard_components, op7_secret_spans, op8_benchmark_leaks, op9_recurrent_scores)}
 
 
 def oracle_sql() -> dict[str, str]:
