@@ -5,11 +5,16 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard, language, pieces, recurrent, secrets, shared, toxicity
+from . import decontaminate, jaccard, language, licenses, pieces, recurrent, secrets, shared, toxicity, urls
 
 PIECE_MODEL = "piece_bpe_32k.model"
 
 
+def op1_url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict for every page url, blocks passed on to aliases."""
+    return urls.judge(shared.table(spark, sf_dir, "pages"))
+
+
 def op2_piece_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every document; digests of ids and decoded text."""
     return pieces.digests(shared.table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_MODEL))
@@ -45,9 +50,14 @@ def op9_recurrent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recurrent.score_corpus(shared.table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op10_license_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and templates in every document."""
+    return licenses.scan(shared.table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     """Every text query, by name."""
-    return {f.__name__: f for f in (op2_piece_tokens, op3_language, op4_toxicity, op5_jaccard_components, op7_secret_spans, op8_benchmark_leaks, op9_recurrent_scores)}
+    return {f.__name__: f for f in (op1_url_verdicts, op2_piece_tokens, op3_language, op4_toxicity, op5_jaccard_components, op7_secret_spans, op8_benchmark_leaks, op9_recurrent_scores, op10_license_labels)}
 
 
 def oracle_sql() -> dict[str, str]:
