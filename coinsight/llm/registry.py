@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard, language, licenses, pieces, recurrent, secrets, shared, toxicity, urls
+from . import decontaminate, jaccard, language, licenses, merkle, pieces, recurrent, secrets, shared, toxicity, urls
 
 PIECE_MODEL = "piece_bpe_32k.model"
 
@@ -35,6 +35,11 @@ def op5_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.linked_components(shared.table(spark, sf_dir, "documents"))
 
 
+def op6_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle fingerprints of documents and of their edited texts."""
+    return merkle.fingerprints(shared.table(spark, sf_dir, "documents"))
+
+
 def op7_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Find secrets in every document, inside encoded runs too."""
     return secrets.find(shared.table(spark, sf_dir, "documents"))
@@ -57,9 +62,9 @@ def op10_license_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     """Every text query, by name."""
-    return {f.__name__: f for f in (op1_url_verdicts, op2_piece_tokens, op3_language, op4_toxicity, op5_jaccard_components, op7_secret_spans, op8_benchmark_leaks, op9_recurrent_scores, op10_license_labels)}
+    return {f.__name__: f for f in (op1_url_verdicts, op2_piece_tokens, op3_language, op4_toxicity, op5_jaccard_components, op6_merkle_fingerprints, op7_secret_spans, op8_benchmark_leaks, op9_recurrent_scores, op10_license_labels)}
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL for the text queries that it can express."""
-    return {}
+    return {"op1_url_verdicts": urls.SQL, "op6_merkle_fingerprints": merkle.SQL}
