@@ -32,7 +32,7 @@ VOCABULARY = 1024
 BUCKETS = 62
 CLASSES = 32
 HIDDEN = 12
-HEAD_WORDS = 1 << 18  # words whose counts every task has; others are joined
+HEAD_WORDS = 1 << 17  # at most so many words' counts are known to every task; others are joined
 SAMPLE_DOCS = 600  # training documents that the recurrent part learns from
 WINDOW = 128
 CHUNK_TOKENS = 4_000_000
@@ -320,11 +320,19 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> tuple[Scorer, DataFr
     counts = shared.stored(count_tokens(docs), "token-counts")
     end = F.col("token") == END.decode()
     by_bucket = counts.groupBy(end.alias("end"), (F.crc32(F.substring("token", -2, 2).cast("binary")) % BUCKETS).alias("b")).agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect()
-    head = counts.orderBy(F.desc("c"), "token").limit(HEAD_WORDS).collect()
+    # Tokens of the largest counts: whole classes of counts, as many as fit.
+    level = F.floor(F.log2(F.col("c").cast("double")) * 8)
+    left, least = HEAD_WORDS, None
+    for r in sorted(counts.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r["level"]):
+        left -= r["n"]
+        if left < 0:
+            break
+        least = r["level"]
+    head = counts.filter(level >= (F.lit(1 << 60) if least is None else least)).select("token", "c").toArrow().sort_by([("c", "descending"), ("token", "ascending")])
     n_docs = sum(r["c"] for r in by_bucket if r["end"])
     scorer = Scorer(
-        [r["token"] for r in head],
-        np.array([r["c"] for r in head], np.int64),
+        head["token"].to_pylist(),
+        head["c"].to_numpy(),
         sum(r["c"] for r in by_bucket),
         sum(r["n"] for r in by_bucket),
         {r["b"]: (r["c"], r["n"]) for r in by_bucket if not r["end"]},
