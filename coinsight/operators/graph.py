@@ -1,0 +1,185 @@
+"""Features of the graph that links entities seen in one transaction."""
+
+from __future__ import annotations
+
+from itertools import combinations
+
+import numpy as np
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..plans.storage import checkpointed
+
+DENSE_NODES = 4000  # spectra of graphs up to this size are taken on the driver
+
+
+def node(column: str) -> Column:
+    """Name of an entity: column and value; null stays null."""
+    return F.when(F.col(column).isNotNull(), F.concat(F.lit(f"{column}:"), F.col(column).cast("string")))
+
+
+def nodes(df: DataFrame, entities: list[str]) -> DataFrame:
+    """Distinct entities."""
+    return df.select(F.explode(F.array(*[node(c) for c in entities])).alias("node")).filter("node is not null").distinct()
+
+
+def capped(names: DataFrame, most: int, seed: int = 0) -> DataFrame:
+    """At most so many nodes, chosen by a hash."""
+    return names.orderBy(F.xxhash64("node", F.lit(seed)), "node").limit(most)
+
+
+def edges(df: DataFrame, entities: list[str], weight: str | None = None) -> DataFrame:
+    """src, dst, w in both directions, weights of repeated pairs added."""
+    w = F.lit(1.0) if weight is None else F.coalesce(F.when(~F.isnan(weight), F.col(weight)), F.lit(1.0))
+    pairs = F.array(*[F.struct(node(a).alias("src"), node(b).alias("dst")) for a, b in combinations(entities, 2)])
+    one = df.select(F.explode(pairs).alias("e"), w.alias("w")).select("e.src", "e.dst", "w").filter("src is not null and dst is not null").groupBy("src", "dst").agg(F.sum("w").alias("w"))
+    return one.unionByName(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
+
+
+def degrees(graph: DataFrame) -> DataFrame:
+    """node, weighted degree and number of neighbours."""
+    return graph.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("degree"), F.count("*").alias("neighbours"))
+
+
+def with_least_degree(graph: DataFrame, least: float = 2) -> DataFrame:
+    """Edges between nodes of at least a weighted degree, in one pass."""
+    kept = degrees(graph).filter(F.col("degree") >= least).select("node")
+    return graph.join(kept.withColumnRenamed("node", "src"), "src", "left_semi").join(kept.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst", "w")
+
+
+def degree_feature(graph: DataFrame) -> DataFrame:
+    """node and weighted degree over the greatest one, at least 1."""
+    d = degrees(graph)
+    top = d.agg(F.greatest(F.max("degree"), F.lit(1.0)).alias("top"))
+    return d.join(F.broadcast(top)).select("node", (F.col("degree") / F.col("top")).alias("degree"))
+
+
+def laplacian(graph: DataFrame) -> DataFrame:
+    """src, dst, v of the normalised Laplacian, off the diagonal."""
+    d = degrees(graph)
+    a, b = d.select(F.col("node").alias("src"), F.col("degree").alias("ds")), d.select(F.col("node").alias("dst"), F.col("degree").alias("dd"))
+    return graph.join(a, "src").join(b, "dst").select("src", "dst", (-F.col("w") / F.sqrt(F.greatest("ds", F.lit(1e-12)) * F.greatest("dd", F.lit(1e-12)))).alias("v"))
+
+
+def clustering(graph: DataFrame) -> DataFrame:
+    """node and clustering coefficient, 0 with fewer than two neighbours.
+
+    Edges are turned from the smaller to the larger (degree, name), which
+    bounds the wedges of a node by the square root of the edges.
+    """
+    plain = graph.filter("src <> dst").select("src", "dst").distinct()
+    d = plain.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("k"))
+    a, b = d.select(F.col("node").alias("src"), F.col("k").alias("ks")), d.select(F.col("node").alias("dst"), F.col("k").alias("kd"))
+    up = checkpointed(plain.join(a, "src").join(b, "dst").filter((F.col("ks") < F.col("kd")) | ((F.col("ks") == F.col("kd")) & (F.col("src") < F.col("dst")))).select("src", "dst"))
+    x, y = up.select(F.col("src").alias("a"), F.col("dst").alias("b")), up.select(F.col("src").alias("a"), F.col("dst").alias("c"))
+    wedges = x.join(y, "a").filter("b <> c")
+    corners = wedges.join(up.select(F.col("src").alias("b"), F.col("dst").alias("c")), ["b", "c"])
+    credited = corners.select(F.explode(F.array("a", "b", "c")).alias("node")).groupBy("node").agg(F.count("*").alias("t"))
+    both = d.join(credited, "node", "left")
+    return both.select("node", F.when(F.col("k") >= 2, 2.0 * F.coalesce("t", F.lit(0)) / (F.col("k") * (F.col("k") - 1))).otherwise(0.0).alias("clustering"))
+
+
+def pagerank(graph: DataFrame, damping: float = 0.85, iterations: int = 50, tolerance: float | None = 1e-6) -> DataFrame:
+    """node and rank; with a tolerance, the vector before the first small step.
+
+    Edge shares are computed once; ranks are checkpointed each round, so plans
+    do not grow.
+    """
+    total = degrees(graph)
+    share = checkpointed(graph.join(total.select(F.col("node").alias("src"), "degree"), "src").select("src", "dst", (F.col("w") / F.col("degree")).alias("s")))
+    n = total.count()
+    rank = checkpointed(total.select("node", F.lit(1.0 / max(n, 1)).alias("rank")))
+    for _ in range(iterations if n else 0):
+        flow = share.join(rank.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("s") * F.col("rank")).alias("f"))
+        new = checkpointed(rank.join(flow, "node", "left").select("node", F.col("rank").alias("old"), ((1 - damping) / n + damping * F.coalesce("f", F.lit(0.0))).alias("rank")))
+        if tolerance is not None:
+            step = new.agg(F.sqrt(F.sum((F.col("rank") - F.col("old")) ** 2))).first()[0]
+            if step < tolerance:
+                return rank
+        rank = new.select("node", "rank")
+    return rank
+
+
+def spectrum(graph: DataFrame, k: int = 10) -> tuple[np.ndarray, DataFrame]:
+    """Smallest eigenvalues of the Laplacian, and node with its vector.
+
+    Small graphs are solved on the driver, under a checked number of nodes;
+    larger ones by orthogonal iteration on twice the identity less the
+    Laplacian, where the driver holds k x k matrices only. Failure raises.
+    """
+    spark = graph.sparkSession
+    names = degrees(graph).select("node")
+    n = names.count()
+    k = min(k, n - 1)
+    if k < 1:
+        return np.zeros(0), spark.createDataFrame([], "node string, vector array<double>")
+    off = laplacian(graph)
+    if n <= DENSE_NODES:
+        order = [r["node"] for r in names.orderBy("node").collect()]
+        at = {x: i for i, x in enumerate(order)}
+        matrix = np.eye(n)
+        for r in off.toLocalIterator():
+            matrix[at[r["src"]], at[r["dst"]]] += r["v"]
+        values, vectors = np.linalg.eigh(matrix)
+        return values[:k], spark.createDataFrame([(x, vectors[i, :k].tolist()) for x, i in at.items()], "node string, vector array<double>")
+    off = checkpointed(off)
+    x = checkpointed(names.withColumn("vector", F.transform(F.sequence(F.lit(1), F.lit(k)), lambda j: F.xxhash64("node", j) / F.lit(2.0**63))))
+    values = np.zeros(k)
+    for _ in range(200):
+        product = off.join(x.withColumnRenamed("node", "dst"), "dst").select(F.col("src").alias("node"), F.posexplode(F.transform("vector", lambda v: v * F.col("v"))).alias("j", "z")).groupBy("node", "j").agg(F.sum("z").alias("z"))
+        y = product.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("j", "z"))).alias("z"))
+        y = x.join(y, "node", "left").select("node", "vector", F.transform("vector", lambda v, j: v - F.coalesce(F.get(F.col("z.z"), j), F.lit(0.0))).alias("y"))
+        y = checkpointed(y)
+        gram = lambda a, b: np.array([[r for r in row] for row in [y.agg(*[F.sum(F.get(a, F.lit(i)) * F.get(b, F.lit(j))) for i in range(k) for j in range(k)]).first()]]).reshape(k, k)
+        root = np.linalg.inv(np.linalg.cholesky(gram("y", "y"))).T
+        x = checkpointed(y.select("node", F.array(*[sum((F.get("y", F.lit(i)) * float(root[i, j]) for i in range(k)), F.lit(0.0)) for j in range(k)]).alias("vector")))
+        new = 2 - 1 / np.abs(np.diag(root))
+        if np.abs(new - values).max() < 1e-8:
+            break
+        values = new
+    return np.sort(values), x
+
+
+def bands(vectors: DataFrame, k: int) -> DataFrame:
+    """node and energy in up to five bands of eigenvectors."""
+    size = max(1, k // 5)
+    n = min(5, k // size)
+    return vectors.select("node", *[F.aggregate(F.slice("vector", b * size + 1, size), F.lit(0.0), lambda s, v: s + v * v).alias(f"band_{b}") for b in range(n)])
+
+
+def heterogeneity(graph: DataFrame, vectors: DataFrame) -> DataFrame:
+    """node and mean distance to its neighbours in the first five eigenvectors."""
+    v = vectors.select("node", F.slice("vector", 1, 5).alias("x"))
+    both = graph.join(v.select(F.col("node").alias("src"), "x"), "src").join(v.select(F.col("node").alias("dst"), F.col("x").alias("z")), "dst")
+    far = F.sqrt(F.aggregate(F.zip_with("x", "z", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, d: s + d))
+    return both.groupBy(F.col("src").alias("node")).agg(F.avg(far).alias("heterogeneity"))
+
+
+def spectrum_summary(values: np.ndarray, n_nodes: int) -> dict[str, float]:
+    """Counts and moments of the eigenvalues."""
+    gap = float(values[1] - values[0]) if len(values) > 1 else 0.0
+    return {"n_nodes": n_nodes, "n_components": len(values), "total": float(values.sum()), "variance": float(values.var()) if len(values) else 0.0, "gap": gap, "largest": float(values.max(initial=0)), "smallest": float(values.min()) if len(values) else 0.0}
+
+
+def node_features(df: DataFrame, entities: list[str], weight: str | None = None, k: int = 10, least_degree: float = 2, most_nodes: int = 50_000, seed: int = 0) -> DataFrame:
+    """node and all features of it."""
+    graph = edges(df, entities, weight)
+    names = nodes(df, entities)
+    if names.count() > most_nodes:
+        kept = capped(names, most_nodes, seed)
+        graph = graph.join(kept.withColumnRenamed("node", "src"), "src", "left_semi").join(kept.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst", "w")
+    graph = checkpointed(with_least_degree(graph, least_degree))
+    values, vectors = spectrum(graph, k)
+    out = degree_feature(graph)
+    for part in (bands(vectors, len(values)) if len(values) else None, heterogeneity(graph, vectors), pagerank(graph), clustering(graph)):
+        out = out if part is None else out.join(part, "node", "left")
+    return checkpointed(out.fillna(0.0))
+
+
+def map_to_rows(df: DataFrame, features: DataFrame, entities: list[str]) -> DataFrame:
+    """``df`` with <entity>_<feature> columns; unknown and missing entities get 0."""
+    names = [c for c in features.columns if c != "node"]
+    for e in entities:
+        own = features.select(F.col("node").alias(f"__{e}"), *[F.col(c).alias(f"{e}_{c}") for c in names])
+        df = df.withColumn(f"__{e}", node(e)).join(own, f"__{e}", "left").drop(f"__{e}").fillna(0.0, [f"{e}_{c}" for c in names])
+    return df
