@@ -258,7 +258,9 @@ def predict(docs: DataFrame, field: Field, keep: list[str] | None = None) -> Dat
     kept = docs.select(*[c for c in (keep or docs.columns) if c not in ("lang_pred", "score")])
     if "text" not in kept.columns:
         kept = kept.withColumn("text", docs["text"])
-    ddl = kept.schema.add("lang_pred", "string").add("score", "double")
+    from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+
+    ddl = StructType([*kept.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
     schema = pa_schema_of(ddl)
     sent = docs.sparkSession.sparkContext.broadcast(field)
 
