@@ -9,7 +9,7 @@ from ..operators import features as fe
 from ..operators import sampling as sm
 from ..sources import synthetic, views
 from ..sources.views import ORDERS, SCORED
-from .catalog import register, rounded
+from .catalog import ORACLES, QUERIES, register, rounded
 from .reporting import markdown_lines
 
 O = views.orders
@@ -271,3 +271,7 @@ def ls_vw_w(spark, d):
 def ls_rs_api(spark, d):
     rows = losses.with_derivatives(views.scored_items(spark, d), losses.ValueWeighted(scope="fraud"))
     return _summed(rows.withColumn("v", F.col("g") + F.col("h")))
+
+
+# The loss of the second backend under its own id.
+register("LS-RS", ORACLES["LS-RS-L"])(QUERIES["LS-RS-L"])
