@@ -249,26 +249,24 @@ def _predictor(field: Field):
     return batch
 
 
-def predict(docs: DataFrame, field: Field, keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` (all if None), lang_pred and score of each row.
+def predict(docs: DataFrame, field: Field, keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns ``keep`` (all if None; text among them) and two more of each row.
 
-    A null text, or one without a letter, is ``und`` with score 0. Columns
-    named lang_pred or score are replaced.
+    The language and its score are named by ``names``; columns named so are
+    replaced. A null text, or one without a letter, is ``und`` with score 0.
     """
-    kept = docs.select(*[c for c in (keep or docs.columns) if c not in ("lang_pred", "score")])
-    if "text" not in kept.columns:
-        kept = kept.withColumn("text", docs["text"])
+    kept = docs.select(*[c for c in (keep or docs.columns) if c not in names])
     from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-    ddl = StructType([*kept.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    ddl = StructType([*kept.schema.fields, StructField(names[0], StringType()), StructField(names[1], DoubleType())])
     schema = pa_schema_of(ddl)
     sent = docs.sparkSession.sparkContext.broadcast(field)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = _predictor(sent.value)
         for batch in batches:
-            names, scores = work(batch.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=schema.names)
+            found, scores = work(batch.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string()), pa.array(scores, pa.float64())], names=schema.names)
 
     return kept.mapInArrow(run, ddl)
 
@@ -290,6 +288,5 @@ def predict_corpus(docs: DataFrame) -> DataFrame:
 def known_language(docs: DataFrame, least: float = 0.4) -> DataFrame:
     """``docs`` without rows of unknown language or a score below ``least``."""
     field = fit(docs.filter(shared.remainder("doc_id", 4) != 2))
-    marked = predict(docs.withColumnRenamed("score", "__score") if "score" in docs.columns else docs, field)
-    found = marked.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).drop("lang_pred", "score")
-    return found.withColumnRenamed("__score", "score").select(*docs.columns) if "score" in docs.columns else found.select(*docs.columns)
+    marked = predict(docs, field, names=("__lang", "__score"))
+    return marked.filter((F.col("__lang") != UNKNOWN) & (F.col("__score") >= least)).select(*docs.columns)

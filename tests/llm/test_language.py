@@ -53,6 +53,8 @@ def test_corpus_accuracy_and_kept_columns(spark):
     held = [r for r in got if r.held_out and r.doc_id < 240]
     assert held and all(r.held_out == (shared.py_remainder(r.doc_id, 4) == 2) for r in got)
     assert np.mean([r.lang_pred == truth[r.doc_id] for r in held]) > 0.95 and len(got) == len(rows)
+    kept = lang.known_language(docs.withColumnRenamed("score", "lang_pred"))
+    assert kept.columns[-1] == "lang_pred" and {500, 501}.isdisjoint(r.doc_id for r in kept.collect())
     kept = lang.known_language(docs)
     assert kept.columns == docs.columns and {500, 501}.isdisjoint(r.doc_id for r in kept.collect())
     assert lang.predict_corpus(docs.limit(0)).count() == 0
