@@ -22,13 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import pa_schema, stored
+from .shared import discard, pa_schema, release, stored
 
 WORDS = 5
 PERCENT = 75
 TABLE_BITS = 20  # counters of the order; its size does not follow the data
 FREQUENT = 32  # sets in a token's list beyond which pairs of tokens are indexed
 SALTS = 16
+MARK_BITS = 24  # of the bitmap that picks documents where they are read
 CACHE = 400_000
 _MULTIPLIERS = [np.uint64(int(xxhash.xxh3_64_intdigest(f"m{k}")) | 1) for k in range(WORDS)]
 
@@ -138,17 +139,36 @@ def shingle_sets(docs: DataFrame, levels: np.ndarray) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, key binary, prefix array<long>")
 
 
-def _full_sets(docs: DataFrame) -> DataFrame:
-    """doc_id and the whole sorted set."""
+def _marks(ids: DataFrame) -> np.ndarray:
+    """Fixed-size bitmap of hashed ids; its size does not follow the data."""
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << MARK_BITS))
+    words = ids.select(slot.alias("slot")).selectExpr("slot div 32 as w", "shiftleft(1L, int(slot % 32)) as b").groupBy("w").agg(F.bit_or("b").alias("b"))
+    found = words.toArrow()
+    out = np.zeros(1 << (MARK_BITS - 5), np.uint32)
+    out[found["w"].to_numpy()] = found["b"].to_numpy().astype(np.uint32)
+    return out
+
+
+def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc_id and the whole sorted set of the wanted documents.
+
+    A bitmap picks them where the texts are read, so no text is shuffled. It
+    may let other documents through; the joins that follow drop them.
+    """
     schema = pa_schema(docs.sparkSession, "doc_id long, tokens array<long>")
+    sent = docs.sparkSession.sparkContext.broadcast(_marks(wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler()
+        shingler, marks = Shingler(), sent.value
         for batch in batches:
+            slot = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
+            batch = batch.filter(pa.array((marks[slot >> 5] >> (slot & 31).astype(np.uint32)) & 1 == 1))
             found = [shingler.set(t).view(np.int64) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(found, schema.field("tokens").type)], schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, tokens array<long>")
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << MARK_BITS))
+    found = docs.filter("doc_id is not null").select("doc_id", "text", slot.alias("slot")).mapInArrow(run, "doc_id long, tokens array<long>")
+    return found.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
 
 
 def _stars(rows: DataFrame) -> DataFrame:
@@ -198,6 +218,18 @@ def _near(a: str, b: str):
     return F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT
 
 
+def _needed(a: str, b: str):
+    """Least number of prefix tokens that two similar sets of these sizes share.
+
+    The set whose prefix ends earlier in the order shares all its prefix tokens
+    with the other's prefix, so what they share beyond is at most its rest, or
+    at most the longer rest: ceil(0.75 n) - 2 tokens.
+    """
+    overlap = F.ceil(F.expr(f"{PERCENT} * ({a} + {b}) / {100.0 + PERCENT}D - 1e-9"))
+    rest = F.floor((F.greatest(a, b) * PERCENT + 99) / 100) - 2
+    return F.greatest(overlap - rest, F.lit(2))
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (u, v) whose sets reach the similarity."""
     left = sets.select(F.col("doc_id").alias("u"), F.col("tokens").alias("s"))
@@ -207,11 +239,23 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.withColumn("c", shared).filter(F.col("c") * 100 >= (F.size("s") + F.size("t") - F.col("c")) * PERCENT).select("u", "v")
 
 
+def _checked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The stored pairs (u, v) that reach the similarity, stored."""
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
+    full = stored(_full_sets(docs, wanted), "full-sets")
+    release(docs.sparkSession)
+    links = stored(_verified(pairs, full), "links")
+    discard(full)
+    release(docs.sparkSession)
+    return links
+
+
 def _pairs(lists: DataFrame, key: str) -> DataFrame:
     """Pairs across components of each list."""
     a = lists.select(key, F.col("doc_id").alias("u"), F.col("n").alias("un"), F.col("component").alias("uc"))
     b = lists.select(key, F.col("doc_id").alias("v"), F.col("n").alias("vn"), F.col("component").alias("vc"))
-    return a.join(b, key).filter((F.col("uc") < F.col("vc")) & _near("un", "vn")).select("u", "v")
+    found = a.join(b, key).filter((F.col("uc") < F.col("vc")) & _near("un", "vn"))
+    return found.groupBy("u", "v", "un", "vn").agg(F.count("*").alias("c"))
 
 
 def linked_components(docs: DataFrame) -> DataFrame:
@@ -222,7 +266,7 @@ def linked_components(docs: DataFrame) -> DataFrame:
     Equal sets are one node; only nodes are joined. Null ids are compared with
     nothing and keep their own null component.
     """
-    docs = docs.select("doc_id", "text")
+    spark, docs = docs.sparkSession, docs.select("doc_id", "text")
     levels = _levels(_counters(docs))
     sets = stored(shingle_sets(docs, levels), "shingle-sets")
     nodes = sets.filter("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("node"))
@@ -230,36 +274,48 @@ def linked_components(docs: DataFrame) -> DataFrame:
     only = sets.join(nodes.select(F.col("node").alias("doc_id"), "key"), ["doc_id", "key"], "left_semi").dropDuplicates(["doc_id", "key"])
     rows = only.select("doc_id", "n", F.explode("prefix").alias("h"))
     salt = F.when(F.col("h").bitwiseAND(1) == 1, F.pmod(F.hash("doc_id"), F.lit(SALTS))).otherwise(0)
-    parts = docs.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
     dealt = rows.repartition(int(parts), "h", salt).sortWithinPartitions("h", "n", "doc_id")
     stars = stored(_stars(dealt), "stars")
-    first = stars.filter(_near("n", "pivot_n")).select(F.col("doc_id").alias("u"), F.col("pivot").alias("v"))
+    slim = stored(sets.select("doc_id", "n", "key"), "set-keys")
+    discard(sets)
+    del only, rows, dealt
+    release(spark)
+    first = stars.filter(_near("n", "pivot_n")).select(F.col("doc_id").alias("u"), "n", F.col("pivot").alias("v"), F.col("pivot_n").alias("m"))
     tops = stars.filter(F.col("h").bitwiseAND(1) == 1).select("h", F.col("pivot").alias("u"), F.col("pivot_n").alias("n")).distinct()
-    low = tops.groupBy("h").agg(F.min_by("u", F.struct("n", "u")).alias("v"))
-    first = first.unionByName(tops.join(low, "h").select("u", "v")).filter("u <> v").distinct()
-    wanted = stars.select("doc_id").distinct()
-    texts = docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    full = stored(_full_sets(texts), "full-sets")
-    links = stored(_verified(first, full), "links")
+    low = tops.groupBy("h").agg(F.min(F.struct(F.col("n").alias("m"), F.col("u").alias("v"))).alias("low")).select("h", "low.v", "low.m")
+    first = first.unionByName(tops.join(low, "h").filter(_near("n", "m")).select("u", "n", "v", "m"))
+    first = first.filter("u <> v").groupBy("u", "n", "v", "m").agg(F.count("*").alias("c")).filter(F.col("c") >= _needed("n", "m"))
+    # One partner for each set: the one with most lists in common, if enough to
+    # be likely. What is not linked here stays in lists of several components,
+    # which come next.
+    first = stored(first.groupBy("u").agg(F.max_by("v", F.struct("c", -F.col("v"))).alias("v")), "pairs")
+    links = _checked(first, docs)
     found = components(links)
     placed = stars.select("h", "doc_id", "n").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     placed = stored(placed, "placed")
     mixed = placed.groupBy("h").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("size")).filter("a <> b").select("h", "size")
     open_lists = stored(placed.join(mixed, "h"), "mixed")
-    rare = _pairs(open_lists.filter(F.col("size") <= FREQUENT), "h")
     often = open_lists.filter(F.col("size") > FREQUENT)
+    # Short lists: a pair's common tokens are counted; those of long lists can
+    # add no more than either document has of them.
+    extra = stored(often.groupBy("doc_id").agg(F.count("*").alias("f")), "long-lists")
+    rare = _pairs(open_lists.filter(F.col("size") <= FREQUENT), "h")
+    rare = rare.join(extra.select(F.col("doc_id").alias("u"), F.col("f").alias("uf")), "u", "left").join(extra.select(F.col("doc_id").alias("v"), F.col("f").alias("vf")), "v", "left")
+    rare = rare.filter(F.col("c") + F.least(F.coalesce("uf", F.lit(0)), F.coalesce("vf", F.lit(0))) >= _needed("un", "vn")).select("u", "v")
     tokens = often.groupBy("doc_id", "n", "component").agg(F.sort_array(F.collect_set("h")).alias("hs"))
     combined = tokens.select("doc_id", "n", "component", "hs", F.posexplode("hs").alias("at", "x")).select(
         "doc_id", "n", "component", F.explode(F.transform(F.expr("slice(hs, at + 2, size(hs))"), lambda y: F.struct(F.col("x"), y.alias("y")))).alias("xy")
     )
-    second = rare.unionByName(_pairs(combined, "xy")).distinct()
-    more = stored(_verified(second, full), "links")
+    second = stored(rare.unionByName(_pairs(combined, "xy").select("u", "v")).distinct(), "pairs")
+    release(spark)
+    more = _checked(second, docs)
     if more.isEmpty():
         final = found
     else:
         final = components(links.unionByName(more))
     of_key = nodes.join(final, "node", "left").select("key", F.coalesce("component", "node").alias("component"))
-    out = sets.select("doc_id", "n", "key").join(of_key, "key", "left")
+    out = slim.join(of_key, "key", "left")
     own = F.when((F.col("n") == 0) | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("component"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 

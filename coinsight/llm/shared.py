@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
+import time
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -50,6 +52,25 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of tables that are done with.
+
+    Spark removes them when the driver's collector finds their owners gone,
+    which in a long job may be long after they fill the disks.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    time.sleep(1)  # the cleaner works beside the driver
+
+
+def discard(df: DataFrame) -> None:
+    """Remove a table that ``stored`` has written and nothing reads any more."""
+    spark = df.sparkSession
+    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def drop_stored() -> None:
     """Remove what ``stored`` has written in this process."""
     while _written:
