@@ -31,7 +31,7 @@ FLOOR, CEILING = 0.4, 0.8  # kernel values that count as no and as full evidence
 RIDGE = 1e-4
 LANDMARKS = 96
 LEAST_Z = 4.5  # standard errors by which a landmark's share must differ
-SAMPLE_TOXIC, SAMPLE_CLEAN = 2000, 4000  # labelled training documents
+SAMPLE_TOXIC, SAMPLE_CLEAN = 1000, 2000  # labelled training documents
 THRESHOLD = 0.3
 CACHE = 300_000
 FIRST, LAST = 230, 231  # codes of a word's borders
@@ -139,10 +139,14 @@ class Machine:
         return np.clip((self.kernel(words) - FLOOR) / (CEILING - FLOOR), 0, 1)
 
     def learn_words(self, words: list[str]) -> None:
-        """Note the evidence of words met for the first time; most have none."""
-        if len(self._row) > CACHE:
+        """Note the evidence of words met for the first time; most have none.
+
+        All of ``words`` are known afterwards, also when older ones are let go.
+        """
+        new = [w for w in dict.fromkeys(words) if w not in self._row]
+        if new and len(self._row) > CACHE:
             self._row, self._kept = {}, []
-        new = list({w for w in words if w not in self._row})
+            new = list(dict.fromkeys(words))
         for i in range(0, len(new), 4000):
             part = new[i : i + 4000]
             z = self.evidence(part)
@@ -231,7 +235,7 @@ class Machine:
 
     def _known(self, parts: list[list[str]]) -> list[list[str]]:
         """The sentences, after their words are noted."""
-        self.learn_words([w for s in parts for w in s if w not in self._row])
+        self.learn_words([w for s in parts for w in s])
         return parts
 
     def score(self, texts: list[str | None]) -> np.ndarray:

@@ -59,6 +59,13 @@ def test_held_out_and_gapped_insults():
     assert (m.score([None, "", "tho ra min", "%% ??"]) < toxicity.THRESHOLD).all()
 
 
+def test_scores_do_not_depend_on_the_cache(monkeypatch):
+    m, texts = machine(), [t for t, _ in labelled(60, 5)]
+    want = m.score(texts)
+    monkeypatch.setattr(toxicity, "CACHE", 20)
+    assert np.allclose(m.score(texts), want)
+
+
 def test_rows(spark):
     texts = labelled(300, 3)
     docs = spark.createDataFrame([(i, t, 0.5) for i, (t, _) in enumerate(texts)] + [(900, None, 0.1), (900, None, 0.1)], "doc_id long, text string, score double")
