@@ -297,17 +297,17 @@ def linked_components(docs: DataFrame) -> DataFrame:
     mixed = placed.groupBy("h").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("size")).filter("a <> b").select("h", "size")
     open_lists = stored(placed.join(mixed, "h"), "mixed")
     often = open_lists.filter(F.col("size") > FREQUENT)
-    # Short lists: a pair's common tokens are counted; those of long lists can
-    # add no more than either document has of them.
-    extra = stored(often.groupBy("doc_id").agg(F.count("*").alias("f")), "long-lists")
     rare = _pairs(open_lists.filter(F.col("size") <= FREQUENT), "h")
-    rare = rare.join(extra.select(F.col("doc_id").alias("u"), F.col("f").alias("uf")), "u", "left").join(extra.select(F.col("doc_id").alias("v"), F.col("f").alias("vf")), "v", "left")
-    rare = rare.filter(F.col("c") + F.least(F.coalesce("uf", F.lit(0)), F.coalesce("vf", F.lit(0))) >= _needed("un", "vn")).select("u", "v")
     tokens = often.groupBy("doc_id", "n", "component").agg(F.sort_array(F.collect_set("h")).alias("hs"))
     combined = tokens.select("doc_id", "n", "component", "hs", F.posexplode("hs").alias("at", "x")).select(
         "doc_id", "n", "component", F.explode(F.transform(F.expr("slice(hs, at + 2, size(hs))"), lambda y: F.struct(F.col("x"), y.alias("y")))).alias("xy")
     )
-    second = stored(rare.unionByName(_pairs(combined, "xy").select("u", "v")).distinct(), "pairs")
+    # What two sets share in their prefixes: tokens of short lists, and of long
+    # ones k tokens if they share k (k - 1) / 2 combinations, or one if none.
+    counted = rare.withColumn("m", F.lit(0)).unionByName(_pairs(combined, "xy").withColumn("m", F.col("c")).withColumn("c", F.lit(0)))
+    counted = counted.groupBy("u", "v", "un", "vn").agg(F.sum("c").alias("c"), F.sum("m").alias("m"))
+    often_shared = F.greatest(F.floor((1 + F.sqrt(1.0 + 8 * F.col("m"))) / 2 + 1e-9), F.lit(1))
+    second = stored(counted.filter(F.col("c") + often_shared >= _needed("un", "vn")).select("u", "v"), "pairs")
     release(spark)
     more = _checked(second, docs)
     if more.isEmpty():
