@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from ..plans.storage import checkpointed
 
 DENSE_NODES = 4000  # spectra of graphs up to this size are taken on the driver
+HELD_NODES, HELD_EDGES = 200_000, 2_000_000  # larger graphs are iterated on tables
+ROUNDS = 60  # rounds of subspace iteration before it counts as failed
+DEGREE = 8  # of the polynomial between two rounds
+RESIDUAL = 1e-6  # length of Lx - vx at which a vector x with value v is found
 
 
 def node(column: str) -> Column:
@@ -100,12 +104,123 @@ def pagerank(graph: DataFrame, damping: float = 0.85, iterations: int = 50, tole
     return rank
 
 
+def _moved(off: DataFrame, x: DataFrame, p: int) -> DataFrame:
+    """``x`` with z: (identity less Laplacian) times each column of x."""
+    flow = off.join(x.select(F.col("node").alias("dst"), "x"), "dst").groupBy(F.col("src").alias("node")).agg(*[F.sum(-F.col("v") * F.get("x", F.lit(j))).alias(f"z{j}") for j in range(p)])
+    return x.join(flow, "node", "left").select(*x.columns, F.array(*[F.coalesce(f"z{j}", F.lit(0.0)) for j in range(p)]).alias("z"))
+
+
+def _products(x: DataFrame, p: int) -> list[np.ndarray]:
+    """xx, xz and zz of the columns x and z, added up over the nodes."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        total = np.zeros((3, p, p))
+        for batch in batches:
+            a, b = (batch.column(i).flatten().to_numpy().reshape(-1, p) for i in (0, 1))
+            total += [a.T @ a, a.T @ b, b.T @ b]
+        yield pa.RecordBatch.from_arrays([pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], names=["m"])
+
+    parts = x.select("x", "z").mapInArrow(run, "m array<double>").toLocalIterator()
+    return list(sum((np.array(r["m"]) for r in parts), np.zeros(3 * p * p)).reshape(3, p, p))
+
+
+def _turned(column: str, by: np.ndarray) -> Column:
+    """A vector column times a small matrix."""
+    return F.transform(F.lit(by.T.tolist()), lambda w: F.aggregate(F.zip_with(F.col(column), w, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v))
+
+
+class _Spread:
+    """A block of vectors x, with z to be filled, as a table of nodes."""
+
+    def __init__(self, off: DataFrame, names: DataFrame, p: int):
+        self.off, self.p = off, p
+        self.x = checkpointed(names.select("node", F.array(*[F.xxhash64("node", F.lit(j)) / F.lit(2.0**63) for j in range(p)]).alias("x")))
+
+    def products(self) -> list[np.ndarray]:
+        self.x = checkpointed(_moved(self.off, self.x, self.p))
+        return _products(self.x, self.p)
+
+    def turn(self, by: np.ndarray) -> None:
+        self.x, self.p = self.x.select("node", _turned("x", by).alias("x"), _turned("z", by).alias("z")), by.shape[1]
+
+    def filter(self, middle: float, half: float) -> None:
+        now = checkpointed(self.x.select("node", F.col("x").alias("old"), F.zip_with("z", "x", lambda z, x: (z - middle * x) / half).alias("x")))
+        for _ in range(DEGREE - 1):
+            step = F.transform("z", lambda z, j: 2 * (z - middle * F.get("x", j)) / half - F.get("old", j))
+            now = checkpointed(_moved(self.off, now, self.p).select("node", F.col("x").alias("old"), step.alias("x")))
+        self.x = now.select("node", "x")
+
+    def vectors(self, k: int) -> DataFrame:
+        return checkpointed(self.x.select("node", F.slice("x", 1, k).alias("vector")))
+
+
+class _Held:
+    """The same block on the driver."""
+
+    def __init__(self, off: DataFrame, names: DataFrame, p: int):
+        self.spark = off.sparkSession
+        self.names = sorted(r["node"] for r in names.collect())
+        at = {x: i for i, x in enumerate(self.names)}
+        rows = off.select("src", "dst", "v").toArrow()
+        self.src, self.dst = (np.array([at[x] for x in rows[c].to_pylist()], np.int64) for c in ("src", "dst"))
+        self.v = -rows["v"].to_numpy()
+        self.x = np.random.default_rng(0).normal(size=(len(at), p))
+
+    def _times(self, x: np.ndarray) -> np.ndarray:
+        return np.stack([np.bincount(self.src, self.v * c[self.dst], len(x)) for c in x.T], 1)
+
+    def products(self) -> list[np.ndarray]:
+        self.z = self._times(self.x)
+        return [self.x.T @ self.x, self.x.T @ self.z, self.z.T @ self.z]
+
+    def turn(self, by: np.ndarray) -> None:
+        self.x, self.z = self.x @ by, self.z @ by
+
+    def filter(self, middle: float, half: float) -> None:
+        old, self.x = self.x, (self.z - middle * self.x) / half
+        for _ in range(DEGREE - 1):
+            old, self.x = self.x, 2 * (self._times(self.x) - middle * self.x) / half - old
+
+    def vectors(self, k: int) -> DataFrame:
+        return self.spark.createDataFrame(list(zip(self.names, self.x[:, :k].tolist(), strict=True)), "node string, vector array<double>")
+
+
+def _filtered(block: _Spread | _Held, k: int) -> tuple[np.ndarray, DataFrame]:
+    """Smallest eigenvalues and vectors by Chebyshev-filtered iteration.
+
+    A block of twice as many vectors as asked for is filtered by a polynomial
+    that is small where the unwanted values lie, then turned to the best
+    vectors that it spans (Rayleigh-Ritz), until all residuals are small.
+    """
+    for _ in range(ROUNDS):
+        xx, xz, zz = block.products()
+        scale = 1 / np.sqrt(np.diag(xx))
+        size, basis = np.linalg.eigh(xx * np.outer(scale, scale))
+        basis = (scale[:, None] * basis / np.sqrt(np.maximum(size, 1e-300)))[:, size > 1e-11]
+        if basis.shape[1] < k:
+            raise RuntimeError(f"{basis.shape[1]} of {k} eigenvectors stay apart")
+        values, turn = np.linalg.eigh(basis.T @ ((xz + xz.T) / 2) @ basis)
+        turn, values = (basis @ turn)[:, ::-1], values[::-1]
+        left = np.sqrt(np.maximum(0, np.einsum("ji,jk,ki->i", turn, zz, turn) - values**2))[:k]
+        block.turn(turn)
+        if left.max() < RESIDUAL:
+            return 1 - values[:k], block.vectors(k)
+        # Chebyshev polynomial: the values from -1 to the last of the block stay small.
+        top = min(max(float(values[-1]), -0.9), 1 - 1e-6)
+        block.filter((top - 1) / 2, (top + 1) / 2)
+    raise RuntimeError(f"no spectrum after {ROUNDS} rounds, greatest residual {left.max():.1e}")
+
+
 def spectrum(graph: DataFrame, k: int = 10) -> tuple[np.ndarray, DataFrame]:
     """Smallest eigenvalues of the Laplacian, and node with its vector.
 
     Small graphs are solved on the driver, under a checked number of nodes;
-    larger ones by orthogonal iteration on twice the identity less the
-    Laplacian, where the driver holds k x k matrices only. Failure raises.
+    larger ones by subspace iteration, on the driver up to a bound of nodes and
+    edges, beyond it on tables, where the driver holds matrices of 2k x 2k
+    only. Values rise, vectors stand in the order of their values, and
+    iteration that does not converge raises.
     """
     spark = graph.sparkSession
     names = degrees(graph).select("node")
@@ -123,21 +238,8 @@ def spectrum(graph: DataFrame, k: int = 10) -> tuple[np.ndarray, DataFrame]:
         values, vectors = np.linalg.eigh(matrix)
         return values[:k], spark.createDataFrame([(x, vectors[i, :k].tolist()) for x, i in at.items()], "node string, vector array<double>")
     off = checkpointed(off)
-    x = checkpointed(names.withColumn("vector", F.transform(F.sequence(F.lit(1), F.lit(k)), lambda j: F.xxhash64("node", j) / F.lit(2.0**63))))
-    values = np.zeros(k)
-    for _ in range(200):
-        product = off.join(x.withColumnRenamed("node", "dst"), "dst").select(F.col("src").alias("node"), F.posexplode(F.transform("vector", lambda v: v * F.col("v"))).alias("j", "z")).groupBy("node", "j").agg(F.sum("z").alias("z"))
-        y = product.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("j", "z"))).alias("z"))
-        y = x.join(y, "node", "left").select("node", "vector", F.transform("vector", lambda v, j: v - F.coalesce(F.get(F.col("z.z"), j), F.lit(0.0))).alias("y"))
-        y = checkpointed(y)
-        gram = lambda a, b: np.array([[r for r in row] for row in [y.agg(*[F.sum(F.get(a, F.lit(i)) * F.get(b, F.lit(j))) for i in range(k) for j in range(k)]).first()]]).reshape(k, k)
-        root = np.linalg.inv(np.linalg.cholesky(gram("y", "y"))).T
-        x = checkpointed(y.select("node", F.array(*[sum((F.get("y", F.lit(i)) * float(root[i, j]) for i in range(k)), F.lit(0.0)) for j in range(k)]).alias("vector")))
-        new = 2 - 1 / np.abs(np.diag(root))
-        if np.abs(new - values).max() < 1e-8:
-            break
-        values = new
-    return np.sort(values), x
+    held = n <= HELD_NODES and off.count() <= HELD_EDGES
+    return _filtered((_Held if held else _Spread)(off, names, min(2 * k, n)), k)
 
 
 def bands(vectors: DataFrame, k: int) -> DataFrame:

@@ -24,10 +24,10 @@ _EDGES = lambda w="1e0": f"(SELECT * FROM {_ONE(w)} UNION ALL SELECT dst, src, w
 _DEG = f"(SELECT src AS node, sum(w) AS degree, count(*) AS neighbours FROM {_EDGES()} GROUP BY 1)"
 
 
-def _small(spark, d):
-    """Customers, suppliers and nations: a graph that dense solvers take."""
+def _segments(spark, d):
+    """Customers, nations and market segments of all orders."""
     o, c = views.table(spark, d, "orders"), views.table(spark, d, "customer")
-    return o.join(c, F.col("o_custkey") == F.col("c_custkey")).filter("o_custkey % 5 = 0").select(F.col("o_custkey").alias("customer"), F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("segment"))
+    return o.join(c, F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_custkey").alias("customer"), F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("segment"))
 
 
 @register("GR-NODES", f"SELECT DISTINCT node FROM (SELECT unnest([c, s, p]) AS node FROM {_NAMED}) WHERE node IS NOT NULL")
@@ -80,7 +80,7 @@ def gr_pr(spark, d):
 
 
 def _solved(spark, d):
-    graph = gr.with_least_degree(gr.edges(_small(spark, d), ["customer", "nation", "segment"]))
+    graph = gr.with_least_degree(gr.edges(_segments(spark, d), ["customer", "nation", "segment"]))
     return graph, *gr.spectrum(graph, 10)
 
 
@@ -118,12 +118,12 @@ def gr_map(spark, d):
 
 @register("GR-NAMES", "SELECT unnest(['customer_degree', 'nation_degree', 'segment_degree']) AS name")
 def gr_names(spark, d):
-    rows = _small(spark, d)
+    rows = _segments(spark, d)
     mapped = gr.map_to_rows(rows, gr.degree_feature(gr.edges(rows, rows.columns)), rows.columns)
     return spark.createDataFrame([(c,) for c in mapped.columns if c.endswith("_degree")], "name string")
 
 
 @register("GR-FITX")
 def gr_fitx(spark, d):
-    rows = _small(spark, d)
+    rows = _segments(spark, d)
     return gr.map_to_rows(rows, gr.node_features(rows, rows.columns, k=5), rows.columns)
