@@ -127,10 +127,16 @@ def _replaced(pattern: re.Pattern, change, run: str, at: int, places) -> Layer:
 
 
 def _layers(text: str, places) -> list[Layer]:
-    """The layers directly inside a layer."""
+    """The layers directly inside a layer.
+
+    Escapes of each way of writing are undone in the whole layer, as a value
+    may stand behind a space from its keyword, and in each run by itself, as
+    another keyword before the run would take its keyword for a value.
+    """
     out: list[Layer] = []
     for sign, pattern, change in (("%", PERCENT, _unquote), ("\\", ESCAPE, _unescape), ("&#", ESCAPE, _unescape)):
         if sign in text and pattern.search(text):
+            out.append(_replaced(pattern, change, text, 0, places))
             done = -1
             for m in pattern.finditer(text):
                 if m.start() < done:

@@ -39,6 +39,14 @@ def test_nested_layers_map_to_the_original():
     assert [k for _, k, _ in secrets.scan_deep("q?" + percent)[1]] == [0]
 
 
+def test_escaped_keywords_with_values_behind_spaces():
+    for text in (r"p\u0061ssword: hunter2hunter2", "api&#95;key = abcdefgh1234", "password%3A hunter2hunter2", r"p\x61ssword : %68unter2hunter2"):
+        assert (0, 0, len(text)) in secrets.scan_deep(text)[1], text
+        assert secrets.redact(f"a {text} b") == "a [secret] b"
+    text = "token= pass%77ord:hunter2hunter2"
+    assert (7, 0, len(text)) in secrets.scan_deep(text)[1]
+
+
 def test_ends_on_cycles_and_hostile_input():
     assert secrets.scan_deep("%2525252525" * 200)[1] == []
     assert secrets.scan_deep("A" * 100000)[1] == []
