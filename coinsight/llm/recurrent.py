@@ -4,7 +4,8 @@ Tokens are the words of the lower-cased text and one end. A count of every
 token over all training documents gives the smoothed unigram score, the
 model's vocabulary and the weights inside its output classes. The model is a
 gated recurrent unit with a class-factored softmax, trained in numpy by
-truncated backpropagation on a bounded sample of training documents. Scoring
+truncated backpropagation on all training documents: in each round every task
+trains a copy on its documents, and the copies are averaged by their tokens. Scoring
 runs windows of steps over whole documents and carries each document's state
 from window to window.
 
@@ -16,6 +17,7 @@ bucket.
 
 from __future__ import annotations
 
+import copy
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -33,7 +35,8 @@ BUCKETS = 62
 CLASSES = 32
 HIDDEN = 12
 HEAD_WORDS = 1 << 17  # at most so many words' counts are known to every task; others are joined
-SAMPLE_DOCS = 600  # training documents that the recurrent part learns from
+ROUNDS = 2  # passes over the training documents, copies averaged after each
+TRAIN_TOKENS = 400_000  # held by a task at once in training
 WINDOW = 128
 CHUNK_TOKENS = 4_000_000
 
@@ -164,17 +167,21 @@ class Network:
             back = back * z + drh * r + gates @ p["u"].T
         return g, h
 
-    def train(self, stream: np.ndarray, epochs: int = 2, streams: int = 64, steps: int = 24, rate: float = 0.01) -> None:
-        """Adam over windows of ``steps``; states pass on, gradients do not."""
+    def train(self, stream: np.ndarray, epochs: int = 2, streams: int = 64, steps: int = 24, rate: float = 0.01, state: dict | None = None) -> None:
+        """Adam over windows of ``steps``; states pass on, gradients do not.
+
+        ``state`` keeps the moments from one call to the next.
+        """
         streams = min(streams, max(1, len(stream) // (2 * steps)))
         long = (len(stream) - 1) // streams
         if long < 2:
             return
         x = stream[: long * streams].reshape(streams, long).T
         y = stream[1 : long * streams + 1].reshape(streams, long).T
-        m = {n: np.zeros_like(v) for n, v in self.p.items()}
-        v = {n: np.zeros_like(q) for n, q in self.p.items()}
-        at = 0
+        state = {} if state is None else state
+        m = state.setdefault("m", {n: np.zeros_like(v) for n, v in self.p.items()})
+        v = state.setdefault("v", {n: np.zeros_like(q) for n, q in self.p.items()})
+        at = begun = state.get("at", 0)
         total = epochs * -(-long // steps)
         for _ in range(epochs):
             h = np.zeros((streams, HIDDEN), np.float32)
@@ -182,7 +189,7 @@ class Network:
                 at += 1
                 g, h = self._gradients(h, x[t : t + steps], y[t : t + steps])
                 scale = 1 / (streams * min(steps, long - t))
-                now = rate * (1 - 0.9 * at / total)
+                now = rate * (1 - 0.9 * (at - begun) / total)
                 for n, d in g.items():
                     if n == "wb":  # counts over all documents stay as they are
                         continue
@@ -190,6 +197,7 @@ class Network:
                     m[n] += 0.1 * (d - m[n])
                     v[n] += 0.01 * (d * d - v[n])
                     self.p[n] -= (now / (1 - 0.9**at)) * m[n] / (np.sqrt(v[n] / (1 - 0.99**at)) + 1e-6)
+        state["at"] = at
 
 
 class Scorer:
@@ -315,7 +323,57 @@ def _partials(docs: DataFrame, scorer: Scorer) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, PARTIAL)
 
 
-def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> tuple[Scorer, DataFrame]:
+def train_everywhere(docs: DataFrame, scorer: Scorer, rounds: int = ROUNDS) -> int:
+    """Train the scorer's network on all ``docs``; the tokens of one round.
+
+    Copies are stored as they come and added up in a few tasks, so the driver
+    receives a bounded number of them.
+    """
+    spark, names = docs.sparkSession, sorted(scorer.net.p)
+    n_tokens = 0
+    for k in range(rounds):
+        sent = spark.sparkContext.broadcast(scorer)
+
+        def train(batches: Iterator[pa.RecordBatch], sent=sent, rate=0.01 / (k + 1)) -> Iterator[pa.RecordBatch]:
+            s, state, held, size, total = copy.deepcopy(sent.value), {}, [], 0, 0
+            for batch in batches:
+                for text in batch.column(0).to_pylist():
+                    held.append(s.ids(tokens(text)))
+                    size += len(held[-1])
+                    if size >= TRAIN_TOKENS:
+                        s.net.train(np.concatenate(held).astype(np.int64), epochs=1, streams=256, rate=rate, state=state)
+                        total, size = total + size, 0
+                        held.clear()
+            if held:
+                # A short rest takes fewer streams, so that it has windows enough.
+                s.net.train(np.concatenate(held).astype(np.int64), epochs=1, streams=max(1, min(256, size // 1500)), rate=rate, state=state)
+                total += size
+            if total:
+                flat = np.concatenate([s.net.p[n].ravel() for n in names]).astype(np.float64) * total
+                yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64()), pa.array([flat.tolist()], pa.list_(pa.float64()))], names=["n", "p"])
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            n, flat = 0, 0.0
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    n, flat = n + batch.column(0)[i].as_py(), flat + batch.column(1)[i].values.to_numpy()
+            if n:
+                yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([flat.tolist()], pa.list_(pa.float64()))], names=["n", "p"])
+
+        copies = shared.stored(docs.select("text").mapInArrow(train, "n long, p array<double>"), "network-copies")
+        parts = copies.coalesce(16).mapInArrow(add, "n long, p array<double>").toArrow()
+        sent.unpersist()
+        n_tokens = sum(parts["n"].to_pylist())
+        if not n_tokens:
+            break
+        flat = sum(x.values.to_numpy() for x in parts["p"]) / n_tokens
+        for n in names:
+            p = scorer.net.p[n]
+            scorer.net.p[n], flat = flat[: p.size].reshape(p.shape).astype(np.float32), flat[p.size :]
+    return n_tokens
+
+
+def fit(docs: DataFrame) -> tuple[Scorer, DataFrame]:
     """The model of ``docs`` and the stored count of each token."""
     counts = shared.stored(count_tokens(docs), "token-counts")
     end = F.col("token") == END.decode()
@@ -329,7 +387,6 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> tuple[Scorer, DataFr
             break
         least = r["level"]
     head = counts.filter(level >= (F.lit(1 << 60) if least is None else least)).select("token", "c").toArrow().sort_by([("c", "descending"), ("token", "ascending")])
-    n_docs = sum(r["c"] for r in by_bucket if r["end"])
     scorer = Scorer(
         head["token"].to_pylist(),
         head["c"].to_numpy(),
@@ -337,13 +394,7 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> tuple[Scorer, DataFr
         sum(r["n"] for r in by_bucket),
         {r["b"]: (r["c"], r["n"]) for r in by_bucket if not r["end"]},
     )
-    share = int(min(1.0, sample_docs / max(1, n_docs)) * 10**12)
-    sample = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(10**12)) < share).select("text").limit(2 * sample_docs).collect()
-    texts = sorted(r["text"] or "" for r in sample)
-    np.random.default_rng(3).shuffle(texts)
-    stream = [scorer.ids(tokens(t)) for t in texts]
-    if stream:
-        scorer.net.train(np.concatenate(stream).astype(np.int64))
+    train_everywhere(docs, scorer)
     return scorer, counts
 
 

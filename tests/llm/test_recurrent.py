@@ -74,6 +74,14 @@ def test_long_documents_and_windows():
     assert np.allclose(together, [s.likelihoods([d])[0] for d in docs], atol=1e-3)
 
 
+def test_every_training_document_is_learned_from(spark):
+    docs = spark.createDataFrame([(i, f"left{i % 40} right{i % 40} " * 20) for i in range(4000)], "doc_id long, text string").repartition(4, "doc_id")
+    scorer, _ = recurrent.fit(docs)
+    assert recurrent.train_everywhere(docs, scorer, 1) == 4000 * 41
+    late = " ".join(f"left{i} right{i}" for i in range(40))
+    assert scorer.likelihoods([scorer.ids(recurrent.tokens(late))])[0] > -80 * math.log10(80)
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert recurrent.score_corpus(empty).count() == 0
