@@ -5,7 +5,8 @@ is cut into overlapping passages, each passage is a query, and block-max WAND
 retrieves every item whose score reaches a share of the item's score against
 itself. Retrieved items are verified: word trigrams of both the question (the
 first two thirds of the item) and the answer (the rest) must recur in the
-passage.
+passage, or most trigrams of the whole item, wherever the missing ones stand,
+or most of its words in a row, other words changed, left out or put between.
 
 A passage is skipped before retrieval only when, for every group of items, the
 sum of its terms' greatest impacts in that group stays below the threshold, so
@@ -30,6 +31,8 @@ from . import shared
 K1, B = 1.2, 0.75
 SHARE = 0.6  # of an item's score against itself
 OVERLAP = 0.5  # of the trigrams of question and of answer
+WHOLE = 0.75  # of the trigrams of the whole item, whatever its parts hold
+ALIGNED = 0.8  # of the words of the whole item, in order and close together
 BLOCK = 64  # postings under one block maximum
 GROUPS = 64  # groups of items with bounds of their own before retrieval
 MAX_INDEX_CHARS = 50_000_000  # of item text in one index; more items go in turns
@@ -46,6 +49,28 @@ def trigrams(w: list[bytes]) -> set[tuple[bytes, ...]]:
     return {tuple(w[i : i + 3]) for i in range(len(w) - 2)} if len(w) >= 3 else ({tuple(w)} if w else set())
 
 
+def aligned(item: list[bytes], inside: list[bytes]) -> int:
+    """Most words of an item that stand in order in a stretch of its length.
+
+    Stretches begin where a trigram of the item recurs at its own distance, so
+    words scattered over a passage do not count.
+    """
+    places: dict[tuple[bytes, ...], list[int]] = {}
+    for j in range(len(inside) - 2):
+        places.setdefault(tuple(inside[j : j + 3]), []).append(j)
+    starts = {j - i for i in range(len(item) - 2) for j in places.get(tuple(item[i : i + 3]), ())}
+    best, n, slack = 0, len(item), max(1, len(item) // 10)
+    for s in starts:
+        part = inside[max(0, s - slack) : max(0, s + n + slack)]
+        row = [0] * (len(part) + 1)
+        for x in item:  # longest common subsequence
+            last = 0
+            for j, y in enumerate(part, 1):
+                last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+        best = max(best, row[-1])
+    return best
+
+
 class ItemIndex:
     """Inverted index of test items; impacts are shares of an item's own score."""
 
@@ -146,6 +171,17 @@ class ItemIndex:
             inside = terms[k * size : (k + 2) * size]
             yield int(k) * size, min(len(w), (int(k) + 2) * size), np.unique(inside[inside > 0]).tolist()
 
+    def whole(self, item: int, inside: list[bytes], grams: set[tuple[bytes, ...]]) -> bool:
+        """Whether most of an item stands in a passage."""
+        w = self.words[item]
+        own = trigrams(w)
+        found = len(own & grams)
+        if found >= WHOLE * len(own):
+            return True
+        # A word changed takes three trigrams at most, so many words in a row
+        # leave some; without any there is nothing to align.
+        return bool(found) and aligned(w, inside) >= ALIGNED * len(w)
+
     def leaks(self, text: str | None) -> dict[int, tuple[float, float, float]]:
         """By item: best score, and overlap of question and answer with it."""
         w, out = words(text), {}
@@ -157,7 +193,7 @@ class ItemIndex:
             for item, score in hits:
                 q = len(self.question[item] & grams) / max(1, len(self.question[item]))
                 a = len(self.answer[item] & grams) / len(self.answer[item]) if self.answer[item] else 1.0
-                if q >= OVERLAP and a >= OVERLAP:
+                if q >= OVERLAP and a >= OVERLAP or self.whole(item, w[start:end], grams):
                     out[item] = max(out.get(item, (0.0, 0.0, 0.0)), (score, q, a))
         return {self.ids[k]: v for k, v in out.items()}
 

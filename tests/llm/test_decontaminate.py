@@ -39,6 +39,26 @@ def test_planted_items_are_found_and_others_left():
         assert not index.leaks(" ".join(w[: len(w) // 2]) + " " + after)
 
 
+def test_near_whole_items_are_found_wherever_they_differ():
+    rnd = random.Random(5)
+    syllables = ["ra", "tho", "min", "ke", "lu", "sta", "ver", "on", "di", "pa"]
+    word = lambda: "".join(rnd.choice(syllables) for _ in range(rnd.randint(1, 4)))
+    tests = [(k, " ".join(word() for _ in range(n))) for k, n in enumerate(range(15, 61, 3))]
+    index = d.ItemIndex(tests)
+    before, after = (" ".join(word() for _ in range(80)) for _ in range(2))
+    for k, text in tests:
+        w = text.split()
+        for at in range(len(w)):
+            assert k in index.leaks(" ".join([before, *w[:at], "changed", *w[at + 1 :], after])), (len(w), at)
+            assert k in index.leaks(" ".join([before, *w[:at], *w[at + 1 :], after])), (len(w), at)
+        for share in (0.83, 0.85, 0.88):
+            assert k in index.leaks(" ".join([before, *w[: int(len(w) * share + 0.999)], after]))
+            assert k in index.leaks(" ".join([before, *w[-int(len(w) * share + 0.999) :], after]))
+        assert not index.leaks(" ".join([before, *w[: len(w) // 2], after]))
+        rnd.shuffle(w)
+        assert not index.leaks(" ".join([before, *w, after]))
+
+
 def test_rows(spark):
     text = "alpha beta gamma delta epsilon zeta eta theta iota"
     tests = spark.createDataFrame([(7, text), (8, None), (9, ""), (None, "x")], "item_id long, text string")
