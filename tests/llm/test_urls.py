@@ -1,4 +1,11 @@
+import random
+import re
+from html import unescape
+from urllib.parse import urljoin, urlsplit
+
+import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from coinsight.llm import urls
 
@@ -47,3 +54,85 @@ def test_blocks_reach_aliases_and_allows_stay(got):
 def test_empty(spark):
     empty = spark.createDataFrame([], "page_id long, url string, html string")
     assert urls.judge(empty).count() == 0
+
+
+BASE = "http://h.net/a/b/page.html?q=1"
+
+
+@pytest.mark.parametrize(
+    ("target", "want"),
+    [
+        ("http://x.net/y", "http://x.net/y"),
+        ("//x.net/y", "http://x.net/y"),
+        ("/y", "http://h.net/y"),
+        ("y.html", "http://h.net/a/b/y.html"),
+        ("./y.html#z", "http://h.net/a/b/y.html#z"),
+        ("../y?k=../v", "http://h.net/a/y?k=../v"),
+        ("../../../y", "http://h.net/y"),
+        ("..", "http://h.net/a/"),
+        ("?id=2", "http://h.net/a/b/page.html?id=2"),
+        ("mailto:me", None),
+    ],
+)
+def test_relative_targets(spark, target, want):
+    row = spark.createDataFrame([(target, BASE)], "t string, b string")
+    assert row.select(urls.resolved(F.col("t"), F.col("b"))).first()[0] == want
+    assert duckdb.execute(f"SELECT {urls._sql_resolved('t', 'b')} FROM (SELECT ? AS t, ? AS b)", [target, BASE]).fetchone()[0] == want
+
+
+def random_pages(seed):
+    rnd, n = random.Random(seed), 120
+    host = lambda k: rnd.choice(["h{}.net", "www.h{}.net", "H{}.net"]).format(k)
+    pages = []
+    for k in range(n):
+        url = f"http://{host(k)}/p{k}/x"
+        targets = [rnd.choice([f"https://h{j}.net/p{j}/x#f", f"http://h{j}.net/p{j}/x/", f"//www.h{j}.net/p{j}/./y/../x"]) for j in rnd.sample(range(n), rnd.choice([0, 0, 1, 1, 2]))]
+        if rnd.random() < 0.1:
+            targets.append(f"http://host.com/de/{k}")
+        if rnd.random() < 0.1:
+            targets.append(f"http://good.com/fr/{k}")
+        html = "".join(rnd.choice(["<link rel='alternate' href='http://no.com/de/1'><LINK href='{}' rel=canonical>", '<meta content="5;URL={}" http-equiv="refresh">', "<link rel='x canonical' href={}>"]).format(t.replace("&", "&amp;")) for t in targets)
+        pages.append((k, url, html))
+    pages += [(n, "http://h500.net/dir/page", "<base href='http://host.com/de/'><link rel=canonical href='a?x=1&amp;y=2'>"), (n + 1, "http://h501.net/", "<link rel=canonical href='http:&#x2f;&#47;h500.net/dir/page'>"), (n + 2, None, "<link rel=canonical href='http://host.com/de/1'>"), (n + 3, "http://h600.net/ü", None)]
+    return pages
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_random_graphs_match_union_find_and_sql(spark, seed):
+    pages = random_pages(seed)
+    parent = {}
+
+    def root(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    def key(u):
+        scheme, _, rest = u.partition("://")
+        rest = rest.partition("#")[0]
+        host, slash, path = rest.partition("/")
+        return (host.lower().removeprefix("www."), (slash + path).partition("?")[0].rstrip("/"), path.partition("?")[2])
+
+    bad = set()
+    for _, url, html in pages:
+        if url is None or html is None:
+            continue
+        based = re.search(r"<base href='([^']*)", html)
+        for tag in re.findall(r"<(?:link|meta)\s[^>]*>", html, re.I):
+            if "alternate" in tag:
+                continue
+            t = re.search(r"(?:href|url)=['\"]?([^'\">]+)", tag, re.I)[1]
+            t = urljoin(based[1] if based else url, unescape(t))
+            parent[root(key(url))] = root(key(t))
+            if urlsplit(t).path.startswith("/de/") and urlsplit(t).hostname.endswith("com"):
+                bad.add(key(t))
+    blocked = {root(k) for k in bad}
+    want = {i: "block" if u and root(key(u)) in blocked else "allow" for i, u, _ in pages}
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = sorted(map(tuple, urls.judge(frame).collect()))
+    assert {r[0]: r[4] for r in got} == want and "alias" in {r[5] for r in got}
+    db = duckdb.connect()
+    db.execute("CREATE TABLE pages(page_id BIGINT, url VARCHAR, html VARCHAR)")
+    db.executemany("INSERT INTO pages VALUES (?, ?, ?)", pages)
+    assert sorted(db.execute(urls.SQL).fetchall()) == got
