@@ -1,19 +1,28 @@
 """Secret scan with recursive decoding.
 
 A worklist starts with the whole text. Each layer is scanned for secrets, and
-each encoded run in it (percent escapes, Unicode escapes, base64, base64 of
-gzip or zlib data) gives a further layer, until no new layer appears. Layers
-seen before are not taken again, so data that decodes to itself ends too.
-Every character of a layer knows the stretch of the original text it comes
-from; findings are reported as those stretches.
+each encoded run in it (percent escapes, Unicode escapes, base64, and gzip,
+zlib or deflate data in any of them) gives further layers, until no new layer
+appears. Layers seen before are not taken again, so data that decodes to itself
+ends too. Every character of a layer knows the stretch of the original text it
+comes from; findings are reported as those stretches.
+
+Base64 is tried in both alphabets, across line breaks and at all four
+alignments, as letters or a path may stand glued before it. Compressed data is
+unfolded to its end, member after member, in overlapping pieces of bounded
+size, so memory does not follow what it unfolds to. Only an encoded run inside
+that is longer than the overlap may be cut.
 """
 
 from __future__ import annotations
 
 import base64
+import contextlib
 import hashlib
 import re
 import zlib
+from collections.abc import Iterator
+from urllib.parse import unquote_to_bytes
 
 from pyspark.sql import DataFrame
 
@@ -31,11 +40,16 @@ HINTS = ("passw", "secret", "token", "apikey", "api_key")
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|(?:\\x[0-9A-Fa-f]{2})+|&#(?:x[0-9A-Fa-f]{1,6}|[0-9]{1,7});")
 RUN = re.compile(r"\S+")
-BASE64 = re.compile(r"[A-Za-z0-9+/]{16,}={0,2}|[A-Za-z0-9_-]{16,}={0,2}")
+BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}")
+BREAK = re.compile(r"\r?\n[ \t]*([A-Za-z0-9+/_-]+)")
+PADDING = re.compile("={0,2}")
+STANDARD = str.maketrans("-_", "+/")
+BYTE = re.compile(rb"\\x([0-9A-Fa-f]{2})")
 PLAIN = re.compile(rb"[\t\n\r\x20-\x7e\x80-\xff]*")
-#: Bytes that one compressed run may unfold to; beyond it the run is reported
-#: as it is, not scanned further, so a small text cannot exhaust a worker.
-MAX_UNFOLDED = 1 << 26
+STRETCH = re.compile(rb"[\t\n\r\x20-\x7e]{8,}")  # the shortest secret is longer
+#: Where gzip or zlib data may begin.
+MAGIC = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]")
+PIECE, OVERLAP = 1 << 24, 1 << 20  # bytes of unfolded data looked at together
 
 Span = tuple[int, int, int]  # start, index in KINDS, end
 
@@ -66,35 +80,98 @@ def _unquote(m: re.Match) -> str:
     return bytes.fromhex(m[0].replace("%", "")).decode("utf-8", "replace")
 
 
-def _unfold(data: bytes) -> bytes | None:
-    """Contents of gzip or zlib data, None if it is neither."""
-    if data[:2] != b"\x1f\x8b" and (len(data) < 2 or data[0] != 0x78 or (data[0] << 8 | data[1]) % 31):
-        return None
-    work = zlib.decompressobj(47)
-    try:
-        out = work.decompress(data, MAX_UNFOLDED)
-    except zlib.error:
-        return None
-    return out if not work.unconsumed_tail else None
-
-
-def _from_base64(run: str) -> str | None:
-    """Text in a base64 run, unfolded if compressed; None if it is no text."""
-    body = run.rstrip("=").replace("-", "+").replace("_", "/")
-    if len(body) % 4 == 1:
-        return None
-    try:
-        data = base64.b64decode(body + "=" * (-len(body) % 4))
-    except ValueError:
-        return None
-    while (inner := _unfold(data)) is not None and inner != data:
-        data = inner
-    if not PLAIN.fullmatch(data):
-        return None
-    try:
-        return data.decode()
-    except UnicodeDecodeError:
-        return None
+def _unfolded(data: bytes | memoryview, bits: int) -> Iterator[bytes]:
+    """Contents of compressed members in a row, in overlapping pieces.
+
+    Data that breaks off or turns bad gives what comes before that.
+    """
+    held = b""
+    while len(data):
+        work = zlib.decompressobj(bits)
+        try:
+            while not work.eof:
+                out = work.decompress(data, PIECE)
+                data = work.unconsumed_tail
+                held += out
+                if len(held) > PIECE:
+                    yield held
+                    held = held[-OVERLAP:]
+                if not out and not data:
+                    break
+        except zlib.error:
+            break
+        data = work.unused_data.lstrip(b"\0")
+        if not MAGIC.match(data):
+            break
+    if held:
+        yield held
+
+
+def _streams(data: bytes) -> Iterator[bytes]:
+    """What compressed data in some bytes unfolds to."""
+    found = False
+    for m in MAGIC.finditer(data):
+        for piece in _unfolded(memoryview(data)[m.start() :], 47):
+            found = True
+            yield piece
+    if not found and not PLAIN.fullmatch(data):
+        work = zlib.decompressobj(-15)
+        with contextlib.suppress(zlib.error):
+            # Any bytes may begin like bare deflate data; its end must be there.
+            if PLAIN.fullmatch(work.decompress(data, 1 << 12)) and (work.eof or work.unconsumed_tail):
+                yield from _unfolded(data, -15)
+
+
+def _inside(data: bytes) -> Iterator[str]:
+    """Texts in some bytes and in what they unfold to, to any depth."""
+    seen, work = set(), [iter([data])]
+    while work:
+        if (piece := next(work[-1], None)) is None:
+            work.pop()
+            continue
+        if (key := hashlib.sha256(piece).digest()) in seen:
+            continue
+        seen.add(key)
+        whole = None
+        if PLAIN.fullmatch(piece):
+            with contextlib.suppress(UnicodeDecodeError):
+                whole = piece.decode()
+        if whole is not None:
+            yield whole
+        else:
+            yield from (m[0].decode() for m in STRETCH.finditer(piece))
+        work.append(_streams(piece))
+
+
+def _from_base64(run: str) -> Iterator[str]:
+    """Texts in a base64 run, wherever in it the base64 begins."""
+    body = run.translate(STANDARD)
+    for at in range(4):
+        part = body[at:]
+        part = part[: len(part) - (len(part) % 4 == 1)]
+        yield from _inside(base64.b64decode(part + "=" * (-len(part) % 4)))
+
+
+def _base64_runs(text: str) -> Iterator[tuple[str, int, int]]:
+    """Base64 in a text without line breaks and padding, and where it stands.
+
+    Lines of one length and a last shorter one are joined. As that one may be a
+    word of the text that follows, the lines before it are a run as well.
+    """
+    done = 0
+    for m in BASE64.finditer(text):
+        if m.start() >= done:
+            lines, end = [m[0]], m.end()
+            while (more := BREAK.match(text, end)) and len(more[1]) <= len(m[0]):
+                if len(more[1]) < len(m[0]) and len(lines) > 1:
+                    yield "".join(lines), m.start(), end
+                lines.append(more[1])
+                end = done = more.end()
+                if len(more[1]) < len(m[0]):
+                    break
+            if len(lines) > 1:
+                yield "".join(lines), m.start(), PADDING.match(text, end).end()
+        yield m[0], m.start(), PADDING.match(text, m.end()).end()
 
 
 Layer = tuple[str, list[tuple[int, int]] | tuple[int, int] | None]
@@ -126,17 +203,16 @@ def _replaced(pattern: re.Pattern, change, run: str, at: int, places) -> Layer:
     return "".join(text), where
 
 
-def _layers(text: str, places) -> list[Layer]:
+def _layers(text: str, places) -> Iterator[Layer]:
     """The layers directly inside a layer.
 
     Escapes of each way of writing are undone in the whole layer, as a value
     may stand behind a space from its keyword, and in each run by itself, as
     another keyword before the run would take its keyword for a value.
     """
-    out: list[Layer] = []
     for sign, pattern, change in (("%", PERCENT, _unquote), ("\\", ESCAPE, _unescape), ("&#", ESCAPE, _unescape)):
         if sign in text and pattern.search(text):
-            out.append(_replaced(pattern, change, text, 0, places))
+            yield _replaced(pattern, change, text, 0, places)
             done = -1
             for m in pattern.finditer(text):
                 if m.start() < done:
@@ -146,20 +222,27 @@ def _layers(text: str, places) -> list[Layer]:
                     start -= 1
                 run = RUN.match(text, start)
                 done = run.end()
-                out.append(_replaced(pattern, change, run[0], start, places))
-    for m in BASE64.finditer(text):
-        if (inner := _from_base64(m[0])) is not None:
-            out.append((inner, _origin(places, m.start(), m.end())))
-    return out
+                yield _replaced(pattern, change, run[0], start, places)
+                if sign != "&#":
+                    raw = unquote_to_bytes(run[0]) if sign == "%" else BYTE.sub(lambda x: bytes.fromhex(x[1].decode()), run[0].encode("utf-8", "surrogatepass"))
+                    if not PLAIN.fullmatch(raw):
+                        where = _origin(places, start, done)
+                        yield from ((x, where) for piece in _streams(raw) for x in _inside(piece))
+    for run, start, end in _base64_runs(text):
+        where = _origin(places, start, end)
+        yield from ((x, where) for x in _from_base64(run))
 
 
 def scan_deep(text: str | None) -> tuple[list[Span], list[Span]]:
     """Open secrets, and all secrets with those inside encoded runs."""
     text = text or ""
     base = scan(text)
-    found, seen, work = set(base), set(), _layers(text, None)
+    found, seen, work = set(base), set(), [_layers(text, None)]
     while work:
-        layer, places = work.pop()
+        if (layer := next(work[-1], None)) is None:
+            work.pop()
+            continue
+        layer, places = layer
         key = (hashlib.sha256(layer.encode("utf-8", "surrogatepass")).digest(), _origin(places, 0, len(layer)) if layer else None)
         if not layer or key in seen or layer == text:
             continue
@@ -167,7 +250,7 @@ def scan_deep(text: str | None) -> tuple[list[Span], list[Span]]:
         for start, kind, end in scan(layer):
             a, b = _origin(places, start, end)
             found.add((a, kind, b))
-        work += _layers(layer, places)
+        work.append(_layers(layer, places))
     return base, sorted(found)
 
 
@@ -195,7 +278,9 @@ def find(docs: DataFrame) -> DataFrame:
     """Counts per kind, digest of open secrets and all spans of each document.
 
     One row per input row, repeated rows too. Null texts count as empty and
-    have no spans. Columns other than doc_id and text are not read.
+    have no spans; long texts are scanned whole. Spans that start together are
+    in the order of KINDS, then of their ends. Columns other than doc_id and
+    text are not read, whatever their names; an empty table gives no rows.
     """
 
     def make():

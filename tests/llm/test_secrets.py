@@ -47,6 +47,54 @@ def test_escaped_keywords_with_values_behind_spaces():
     assert (7, 0, len(text)) in secrets.scan_deep(text)[1]
 
 
+SECRET = "password=hunter2hunter2"
+
+
+def hidden(text):
+    """Kinds found in a text that shows no secret itself."""
+    base, spans = secrets.scan_deep(text)
+    assert base == [] and all(0 <= a < b <= len(text) for a, _, b in spans)
+    return {k for _, k, _ in spans}
+
+
+def test_base64_across_lines_alphabets_and_alignments():
+    rnd = random.Random(5)
+    noise = lambda n: "".join(rnd.choice("bcdfghjklmnpqrstvwxz ") for _ in range(n))
+    for k in range(60):
+        data = f"{noise(rnd.randint(20, 300))}{SECRET} {noise(rnd.randint(0, 200))}".encode()
+        for packed in (data, zlib.compress(data), gzip.compress(data)):
+            assert hidden("a\n" + base64.encodebytes(packed).decode() + "b") == {0}
+            lines = base64.b64encode(packed).decode()
+            wrapped = "\r\n  ".join(lines[i : i + 64] for i in range(0, len(lines), 64))
+            assert hidden(f"x {wrapped}\nnext line") == {0}
+            assert hidden("x " + base64.urlsafe_b64encode(packed).decode().rstrip("=") + " y") == {0}
+            assert hidden("host/" + "p" * (k % 9) + "/" + lines) == {0}
+            assert hidden("q" * (k % 5) + lines) == {0}
+
+
+def test_members_streams_and_bare_deflate(monkeypatch):
+    two = gzip.compress(b"first member") + gzip.compress(SECRET.encode())
+    assert hidden(base64.b64encode(two).decode()) == {0}
+    work = zlib.compressobj(9, zlib.DEFLATED, -15)
+    bare = work.compress(b"words before " + SECRET.encode()) + work.flush()
+    assert hidden(base64.b64encode(bare).decode()) == {0}
+    assert hidden("q=" + quote(gzip.compress(SECRET.encode()), safe="")) == {0}
+    assert hidden("".join(f"\\x{b:02x}" for b in zlib.compress(SECRET.encode()))) == {0}
+    for _ in range(40):
+        two = gzip.compress(two)
+    assert hidden(base64.b64encode(two).decode()) == {0}
+    monkeypatch.setattr(secrets, "PIECE", 1 << 12)
+    monkeypatch.setattr(secrets, "OVERLAP", 1 << 8)
+    for at in (0, 4090, 4096, 100_000, 999_990):
+        long = b"x " * (at // 2) + SECRET.encode() + b" y" * 200_000
+        assert hidden(base64.b64encode(gzip.compress(long)).decode()) == {0}
+
+
+def test_data_that_unfolds_far_is_scanned_to_its_end():
+    long = zlib.compress(bytes(80 << 20) + b"\n" + SECRET.encode())
+    assert hidden(base64.b64encode(long).decode()) == {0}
+
+
 def test_ends_on_cycles_and_hostile_input():
     assert secrets.scan_deep("%2525252525" * 200)[1] == []
     assert secrets.scan_deep("A" * 100000)[1] == []
