@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import gc
 import os
 import tempfile
-import time
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -52,23 +53,24 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of tables that are done with.
+def tidied(run: Callable[[Iterator], Iterator], forget: Callable[[], object] = lambda: None) -> Callable[[Iterator], Iterator]:
+    """``run`` that forgets caches and returns free memory when its task ends.
 
-    Spark removes them when the driver's collector finds their owners gone,
-    which in a long job may be long after they fill the disks.
+    Python workers outlive their tasks and serve other stages; what one stage
+    keeps would be missing in the next.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    time.sleep(1)  # the cleaner works beside the driver
 
+    def whole(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            forget()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
 
-def discard(df: DataFrame) -> None:
-    """Remove a table that ``stored`` has written and nothing reads any more."""
-    spark = df.sparkSession
-    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    return whole
 
 
 def drop_stored() -> None:
@@ -111,7 +113,7 @@ def map_rows(df: DataFrame, columns: list[str], schema: str, make: Callable[[],
             got = work(*(batch.column(i).to_pylist() for i in range(batch.num_columns)))
             yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(got, target, strict=True)], schema=target)
 
-    return df.select(*columns).mapInArrow(run, schema)
+    return df.select(*columns).mapInArrow(tidied(run), schema)
 
 
 def pa_schema(spark: SparkSession, ddl: str) -> pa.Schema:

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from coinsight.llm import jaccard
@@ -47,10 +48,11 @@ def corpus(seed):
     return docs + [(1000, None), (1001, ""), (1002, "One two"), (1003, "one\x0bTWO"), (1004, " \t ")]
 
 
-@pytest.mark.parametrize("frequent", [32, 2])
-def test_components_match_brute_force(spark, monkeypatch, frequent):
-    monkeypatch.setattr(jaccard, "FREQUENT", frequent)
-    docs = corpus(frequent)
+@pytest.mark.parametrize(("frequent", "rest"), [(1024, {}), (3, {"HOT": 2, "BATCH_DOCS": 40, "BLOCK": 4}), (1, {"BATCH_TOKENS": 200, "PARTS": 4})])
+def test_components_match_brute_force(spark, monkeypatch, frequent, rest):
+    for name, value in {"FREQUENT": frequent, **rest}.items():
+        monkeypatch.setattr(jaccard, name, value)
+    docs = corpus(frequent) + [(2000 + k, " ".join(f"w{i}" for i in range(k, 9000))) for k in range(3)]
     frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.linked_components(frame).collect()}
     want = brute(docs)
@@ -58,6 +60,44 @@ def test_components_match_brute_force(spark, monkeypatch, frequent):
     assert got == want
 
 
+def test_units_of_any_size_match_every_pair():
+    rnd = np.random.default_rng(3)
+    base = np.unique(rnd.integers(0, 1 << 60, 80).astype(np.uint64))
+    sets = [np.unique(np.r_[rnd.permutation(base)[: rnd.integers(55, 78)], rnd.integers(0, 1 << 60, rnd.integers(0, 12)).astype(np.uint64)]) for _ in range(70)]
+    sets.sort(key=len)
+    n, ids = np.array([len(s) for s in sets]), np.arange(70)
+
+    def joined(links):
+        label = list(range(70))
+        for u, v in links:
+            label = [label[u] if x == label[v] else x for x in label]
+        return [label.index(x) for x in label]
+
+    pairs = [(i, j) for i in ids for j in ids[i + 1 :] if 100 * (c := len(np.intersect1d(sets[i], sets[j]))) >= 75 * (n[i] + n[j] - c)]
+    assert 20 < len(pairs) and joined(jaccard.group_links(ids, n, ids * 0, sets)) == joined(pairs)
+    few = jaccard.group_links(ids[:4], n[:4], ids[:4] * 0, sets[:4])
+    assert joined(few) == joined([p for p in pairs if p[1] < 4])
+    block = ids % 2
+    assert joined(jaccard.group_links(ids, n, block, sets)) == joined([p for p in pairs if block[p[0]] != block[p[1]]])
+
+
+def test_similar_sets_share_an_entry():
+    rnd = random.Random(4)
+    for _ in range(400):
+        size = rnd.randint(2, 90)
+        a = sorted(rnd.sample(range(120), size))
+        b = sorted({*rnd.sample(a, max(1, size - rnd.randint(0, size // 4))), *rnd.sample(range(120), rnd.randint(0, size // 8))})
+        common = len({*a} & {*b})
+        if 100 * common < 75 * (len(a) + len(b) - common) or a == b:
+            continue
+        rare = rnd.randint(0, 120)
+        entries = []
+        for s in (a, b):
+            shared = np.array(s, np.uint64)
+            entries.append(jaccard.index_entries(len(s), shared, int((shared < rare).sum()))[0])
+        assert len(np.intersect1d(*entries)), (a, b, rare)
+
+
 def test_repeated_rows_clashing_columns_and_empty(spark):
     docs = [(1, "a b c d e f", 5), (1, "a b c d e f", 5), (2, "a b c d e f", 6), (None, "a b c d e f", 7), (3, None, 8)]
     frame = spark.createDataFrame(docs, "doc_id long, text string, component_id long")
