@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import reached, running
+
 
 def counts(y: Column, flag: Column, amount: Column) -> dict[str, Column]:
     """The conditional sums that label metrics are made of."""
@@ -92,20 +94,6 @@ def line_grid(spark, low: float, high: float, n: int) -> DataFrame:
     return spark.range(n).select(F.col("id").cast("int").alias("t_id"), F.when(F.col("id") == n - 1, F.lit(high)).otherwise(F.lit(low) + F.col("id") * F.lit(step)).alias("t"))
 
 
-def _reached(p: Column, ts: list[float], strict: bool) -> Column:
-    """How many of the rising thresholds a score reaches, by halving steps."""
-    steps, k = [], 1
-    while k <= len(ts):
-        steps.insert(0, k)
-        k *= 2
-    found, array = F.lit(0), F.array(*[F.lit(t) for t in ts])
-    less = (lambda a: a < p) if strict else (lambda a: a <= p)
-    return F.aggregate(
-        F.array(*[F.lit(s) for s in steps]), found,
-        lambda i, s: F.when((i + s <= len(ts)) & less(F.element_at(array, F.least(i + s, F.lit(len(ts))))), i + s).otherwise(i),
-    )
-
-
 def sweep_sums(df: DataFrame, thresholds: DataFrame, y: str = "y", p: str = "p", amount: str = "amount", by: list[str] | None = None, strict: bool = False) -> DataFrame:
     """t_id, t and the conditional sums for each threshold (and group).
 
@@ -115,7 +103,7 @@ def sweep_sums(df: DataFrame, thresholds: DataFrame, y: str = "y", p: str = "p",
     by = by or []
     ts = [r["t"] for r in thresholds.orderBy("t").collect()]
     score = F.coalesce(F.col(p), F.lit(float("-inf")))
-    buckets = df.withColumn("k", _reached(score, ts, strict)).groupBy(*by, "k").agg(
+    buckets = df.withColumn("k", reached(score, ts, strict)).groupBy(*by, "k").agg(
         F.sum((F.col(y) == 1).cast("long")).alias("pos"), F.sum((F.col(y) != 1).cast("long")).alias("neg"), F.sum(F.when(F.col(y) == 1, F.col(amount)).otherwise(0.0)).alias("amt")
     )
     all_ks = buckets.sparkSession.range(len(ts) + 1).select(F.col("id").cast("int").alias("k"))
@@ -175,18 +163,15 @@ def score_levels(df: DataFrame, y: str = "y", p: str = "p", by: list[str] | None
 def roc_auc(df: DataFrame, y: str = "y", p: str = "p", by: list[str] | None = None) -> DataFrame:
     """Area under the ROC curve, ties counted half; .5 with one class only."""
     by = by or []
-    levels = score_levels(df, y, p, by)
-    w = (Window.partitionBy(*by) if by else Window.partitionBy()).orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    below = levels.withColumn("below", F.coalesce(F.sum("neg").over(w), F.lit(0)))
-    out = below.groupBy(*by).agg(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2.0)).alias("u"), F.sum("pos").alias("np"), F.sum("neg").alias("nn"))
+    below = running(df.select(F.col(p).alias("p")), score_levels(df, y, p, by), "p", ["neg"], by)
+    out = below.groupBy(*by).agg(F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") / 2.0)).alias("u"), F.sum("pos").alias("np"), F.sum("neg").alias("nn"))
     return out.select(*by, ratio(F.col("u"), F.col("np").cast("double") * F.col("nn"), 0.5).alias("auc"))
 
 
 def curve_points(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
     """threshold, tp, fp, tpr (recall), fpr, precision for each distinct score."""
-    w = Window.orderBy(F.desc("p"))
-    total = Window.partitionBy()
-    cum = score_levels(df, y, p).select(F.col("p").alias("threshold"), F.sum("pos").over(w).alias("tp"), F.sum("neg").over(w).alias("fp"), F.sum("pos").over(total).alias("np"), F.sum("neg").over(total).alias("nn"))
+    below = running(df.select(F.col(p).alias("p")), score_levels(df, y, p), "p", ["pos", "neg"])
+    cum = below.select(F.col("p").alias("threshold"), (F.col("pos_all") - F.col("pos_before")).alias("tp"), (F.col("neg_all") - F.col("neg_before")).alias("fp"), F.col("pos_all").alias("np"), F.col("neg_all").alias("nn"))
     return cum.select("threshold", "tp", "fp", ratio(F.col("tp"), F.col("np")).alias("tpr"), ratio(F.col("fp"), F.col("nn")).alias("fpr"), ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"))
 
 

@@ -1,53 +1,84 @@
 """Sampling and splitting: exact sizes, stratified, the same on every run.
 
-Ranks are taken per class over a hash of the key. For large tables use
-``share`` versions, whose sizes are approximate but which need no order.
+Rows are taken by the key, or by a hash of it, in each class. The row where a
+class is cut is found from counts per slice of that order, so the rows
+themselves are only compared with it: no class is gathered or sorted.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ordering
+
 
-def _order(key: str, seed: int | None) -> list[Column]:
-    """By key, or by a hash of it."""
-    return [F.col(key)] if seed is None else [F.xxhash64(F.col(key), F.lit(seed)), F.col(key)]
+def _sliced(df: DataFrame, key: str, seed: int | None) -> tuple[DataFrame, list[str]]:
+    """``df`` with the slice __s of its order, and the columns of that order."""
+    if seed is None:
+        return df.withColumn("__s", ordering.range_slice(df, key)), [key]
+    hashed = df.withColumn("__h", F.xxhash64(F.col(key), F.lit(seed)))
+    return hashed.withColumn("__s", ordering.hash_slice(F.col("__h"))), ["__h", key]
 
 
 def class_rank(df: DataFrame, y: str, key: str, seed: int | None = None) -> DataFrame:
     """``df`` with __r, the row's rank in its class from 1, and __n, its size."""
+    sliced, order = _sliced(df, key, seed)
+    per = sliced.groupBy(y, "__s").agg(F.count("*").alias("__c"))
+    # One row per class and slice.
     w = Window.partitionBy(y)
-    return df.withColumn("__r", F.row_number().over(w.orderBy(*_order(key, seed)))).withColumn("__n", F.count("*").over(w))
+    offset = per.select(F.col(y).alias("__y"), F.col("__s").alias("__t"), (F.sum("__c").over(w.orderBy("__s")) - F.col("__c")).alias("__b"), F.sum("__c").over(w).alias("__n"))
+    ranked = sliced.withColumn("__k", F.row_number().over(Window.partitionBy(y, "__s").orderBy(*order)))
+    joined = ranked.join(F.broadcast(offset), F.col(y).eqNullSafe(F.col("__y")) & (F.col("__s") == F.col("__t")))
+    return joined.withColumn("__r", F.col("__b") + F.col("__k")).drop("__h", "__s", "__t", "__y", "__b", "__k")
+
+
+def class_cut(df: DataFrame, y: str, key: str, seed: int | None, wanted: Callable[[object, int], int]) -> DataFrame:
+    """``df`` with __in: whether a row is among the first ``wanted(class, size)`` of its class."""
+    sliced, order = _sliced(df, key, seed)
+    asked: dict = {}
+
+    def ranks(c, size: int) -> list[int]:
+        asked[c] = (wanted(c, size), size)
+        return [asked[c][0]] if 0 < asked[c][0] < size else []
+
+    found = ordering.rows_at(sliced, order, ranks, y)
+    inside = F.lit(False)
+    for c, (want, size) in asked.items():
+        own = F.col(y).eqNullSafe(F.lit(c))
+        if want >= size:
+            inside = F.when(own, True).otherwise(inside)
+        elif want > 0:
+            inside = F.when(own, ordering.up_to(sliced, order, found[c, want])).otherwise(inside)
+    return sliced.withColumn("__in", inside).drop("__h", "__s")
 
 
 def natural_rate(df: DataFrame, n: int, y: str, key: str, seed: int | None = None) -> DataFrame:
     """``n`` rows at the share of positives that ``df`` has."""
     size, hits = df.agg(F.count("*"), F.sum(y)).first()
     n_hits = int(n * ((hits or 0) / size)) if size else 0
-    ranked = class_rank(df, y, key, seed)
-    return ranked.filter(F.col("__r") <= F.when(F.col(y) == 1, n_hits).otherwise(n - n_hits)).drop("__r", "__n")
+    return class_cut(df, y, key, seed, lambda c, _: n_hits if c == 1 else n - n_hits).filter("__in").drop("__in")
 
 
 def natural_rate_replaced(df: DataFrame, n: int, rate: float, y: str, key: str, seed: int | None = None) -> DataFrame:
     """As above at a given rate; too few positives are repeated in turn."""
-    n_hits = int(n * rate)
-    ranked = class_rank(df, y, key, seed)
-    want = F.when(F.col(y) == 1, n_hits).otherwise(n - n_hits)
-    times = F.when(F.col(y) == 1, F.floor((want - F.col("__r")) / F.col("__n")) + 1).otherwise((F.col("__r") <= want).cast("long"))
-    return ranked.withColumn("__t", times).filter("__t > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__t")))).drop("__r", "__n", "__t")
+    n_hits, size = int(n * rate), df.filter(F.col(y) == 1).count()
+    cut = class_cut(df, y, key, seed, lambda c, k: n_hits % k if c == 1 else n - n_hits)
+    times = F.col("__in").cast("int") + F.when(F.col(y) == 1, n_hits // max(1, size)).otherwise(0)
+    return cut.withColumn("__t", times).filter("__t > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__t").cast("long")))).drop("__in", "__t")
 
 
 def keep_positives(df: DataFrame, most: int, y: str, key: str, seed: int | None = None) -> DataFrame:
     """All positives and at most ``most`` others."""
-    rest = class_rank(df.filter(F.col(y) == 0), y, key, seed).filter(F.col("__r") <= most).drop("__r", "__n")
-    return df.filter(F.col(y) == 1).unionByName(rest)
+    return class_cut(df.filter(F.col(y).isin(0, 1)), y, key, seed, lambda c, size: size if c == 1 else most).filter("__in").drop("__in")
 
 
 def stratified_split(df: DataFrame, share: float, y: str, key: str, seed: int | None = None) -> DataFrame:
     """``df`` with is_test for the first round(share * class size) of a class."""
-    ranked = class_rank(df, y, key, seed)
-    return ranked.withColumn("is_test", F.col("__r") <= F.round(F.col("__n") * share)).drop("__r", "__n")
+    return class_cut(df, y, key, seed, lambda _, size: math.floor(size * share + 0.5)).withColumnRenamed("__in", "is_test")
 
 
 def early_stop_split(df: DataFrame, share: float, y: str, key: str, seed: int | None = None) -> DataFrame:
@@ -55,8 +86,7 @@ def early_stop_split(df: DataFrame, share: float, y: str, key: str, seed: int |
     n, hits = df.agg(F.count("*"), F.sum(y)).first()
     n_val = int(n * share)
     n_hits = min(hits or 0, max(1, int((hits or 0) * share)))
-    ranked = class_rank(df, y, key, seed)
-    return ranked.withColumn("is_val", F.col("__r") <= F.when(F.col(y) == 1, n_hits).otherwise(n_val - n_hits)).drop("__r", "__n")
+    return class_cut(df, y, key, seed, lambda c, _: n_hits if c == 1 else n_val - n_hits).withColumnRenamed("__in", "is_val")
 
 
 def folds(df: DataFrame, k: int, y: str, key: str, seed: int | None = None) -> DataFrame:
@@ -67,18 +97,23 @@ def folds(df: DataFrame, k: int, y: str, key: str, seed: int | None = None) -> D
 def time_splits(df: DataFrame, k: int, ts: str, key: str) -> DataFrame:
     """fold, role and row for k expanding windows over time.
 
-    Each test part has n div (k + 1) rows; all earlier rows train. Boundaries
-    are found from counts per time value, so rows need no global order.
+    Each test part has n div (k + 1) rows; all earlier rows train. Rows are
+    compared with the last row before each boundary.
     """
-    per = df.groupBy(ts).agg(F.count("*").alias("__c"))
-    before = per.withColumn("__b", F.sum("__c").over(Window.orderBy(ts).rowsBetween(Window.unboundedPreceding, -1))).select(ts, F.coalesce("__b", F.lit(0)).alias("__b"))
-    n = df.count()
-    size = n // (k + 1)
-    ranked = df.join(before, ts).withColumn("__rank", F.col("__b") + F.row_number().over(Window.partitionBy(ts).orderBy(key)) - 1)
-    fold = F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
-    start = n - (k - F.col("fold")) * size
-    out = ranked.withColumn("fold", fold).withColumn("role", F.when(F.col("__rank") < start, "train").when(F.col("__rank") < start + size, "test"))
-    return out.filter("role is not null").drop("__b", "__rank")
+    sliced = df.withColumn("__s", F.coalesce(ordering.range_slice(df, ts), F.lit(-1)))
+    bounds: list[int] = []
+
+    def ranks(_, n: int) -> list[int]:
+        size = n // (k + 1)
+        bounds.extend(n - (k - fold) * size for fold in range(k + 1))
+        return bounds
+
+    found = ordering.rows_at(sliced, [ts, key], ranks)
+    if not bounds:
+        return df.withColumn("fold", F.lit(0)).withColumn("role", F.lit("train")).limit(0)
+    before = [ordering.up_to(sliced, [ts, key], found[None, b]) if b > 0 else F.lit(False) for b in bounds]
+    roles = F.array(*[F.when(before[f], "train").when(before[f + 1], "test") for f in range(k)])
+    return sliced.select("*", F.posexplode(roles).alias("fold", "role")).filter("role is not null").drop("__s")
 
 
 def exact_share(df: DataFrame, share: float, key: str, seed: int) -> DataFrame:
