@@ -2,13 +2,16 @@
 
 The kernel of two words counts their common three-letter subsequences, gaps
 lowering the weight, so that inserted characters keep most of a word's
-likeness. Landmarks are words of the labelled training documents; a word is
-described by its kernel values with them, and a sentence by the greatest value
-for each landmark, beyond a floor that unrelated words stay under. A linear
-machine over the whitened landmark features judges sentences. Labels are given
-per document, so training alternates between choosing the worst sentence of
-each toxic document and fitting. A document scores as its worst sentence, put
-on a probability scale by logistic calibration.
+likeness; a power of it sets words of one stem apart from others. The kernel of
+two sentences is the sum over their pairs of words. Landmarks are words of the
+labelled training documents; a sentence's kernel values with them, multiplied
+by the inverse root of the landmarks' own kernel matrix, are its Nyström
+features. A linear machine over them judges sentences. Labels are given per
+document, so training alternates between choosing the worst sentence of each
+toxic document and fitting. A document scores as its worst sentence, put on a
+probability scale by a calibration that weighs each training document by the
+inverse of its label's sampling rate, so that scores mean the same however
+many labels there are.
 """
 
 from __future__ import annotations
@@ -27,15 +30,17 @@ from . import shared
 
 SPAN = 6  # characters that one subsequence may reach over
 DECAY = 0.6
-FLOOR, CEILING = 0.4, 0.8  # kernel values that count as no and as full evidence
+POWER = 4  # of the kernel of words
+FLOOR = 0.3  # kernel values below count as none; their power is under 0.01
 RIDGE = 1e-4
 LANDMARKS = 96
 LEAST_Z = 4.5  # standard errors by which a landmark's share must differ
 SAMPLE_TOXIC, SAMPLE_CLEAN = 1000, 2000  # labelled training documents
 THRESHOLD = 0.3
-CACHE = 300_000
+CACHE = 200_000
 FIRST, LAST = 230, 231  # codes of a word's borders
 TRIPLES = 32749  # a prime; three codes are hashed below it
+MAX_SENTENCE = 64  # words; longer sentences are taken in parts
 MAX_WORD = 64  # longer words are taken in overlapping parts of this length
 SENTENCE = re.compile(r"[.!?]+\s+|\n+|\s*\|\s*")
 SPELLED = re.compile(r"(?<!\S)(?:\w\s+){3,}\w(?!\S)")
@@ -57,8 +62,8 @@ def sentences(text: str | None) -> list[list[str]]:
     for s in SENTENCE.split(text.lower()) if text else ():
         if " " in s and SPELLED.search(s):
             s += " " + " ".join("".join(m[0].split()) for m in SPELLED.finditer(s))
-        if w := s.split():
-            out.append(w)
+        w = s.split()
+        out += [w[i : i + MAX_SENTENCE] for i in range(0, len(w), MAX_SENTENCE)]
     return out
 
 
@@ -109,71 +114,61 @@ class Machine:
     def __init__(self, landmarks: list[str]):
         self.landmarks = landmarks
         n = len(landmarks)
-        self.table = np.zeros((1 << 15, n), np.float32)
-        word, seq, weight = subsequences(landmarks) if n else (np.zeros(0, int),) * 3
-        self.table[seq, word] = weight
-        values, vectors = np.linalg.eigh(self.kernel(landmarks).astype(float)) if n else (np.zeros(0), np.zeros((0, 0)))
+        word, seq, weight = subsequences(landmarks) if n else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+        # By subsequence, the landmarks that have it and its weight in them.
+        order = np.argsort(seq, kind="stable")
+        self.of_seq, self.seq_weight = word[order], weight[order]
+        self.seq_at = np.searchsorted(seq[order], np.arange((1 << 15) + 1))
+        values, vectors = np.linalg.eigh(self.evidence(landmarks)) if n else (np.zeros(0), np.zeros((0, 0)))
         self.white = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-2))) @ vectors.T
         self.weight, self.bias = np.zeros(n), 0.0
         self.slope, self.offset = 0.0, 0.0
         self.knots: tuple[np.ndarray, np.ndarray] | None = None
-        self._row: dict[str, int] = {}
-        self._kept: list[np.ndarray] = []
+        self._known: dict[str, float] = {}
 
     def __getstate__(self):
-        return self.__dict__ | {"_row": {}, "_kept": []}
+        return self.__dict__ | {"_known": {}}
 
     def kernel(self, words: list[str]) -> np.ndarray:
-        """Kernel values of words with the landmarks, 1 for equal words."""
-        out = np.zeros((len(words), len(self.landmarks)), np.float32)
-        if len(words):
+        """Kernel values of words with the landmarks, 1 for equal words.
+
+        Subsequences that no landmark has are passed over.
+        """
+        n = len(self.landmarks)
+        out = np.zeros((len(words), n))
+        if len(words) and n:
             parts, owner = _parts(words)
             word, seq, weight = subsequences(parts)
-            if len(word):
-                new = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-                np.maximum.at(out, owner[word[new]], np.add.reduceat(self.table[seq] * weight[:, None].astype(np.float32), new))
+            lists = self.seq_at[seq + 1] - self.seq_at[seq]
+            some = np.flatnonzero(lists)
+            word, weight, lists, first = word[some], weight[some], lists[some], self.seq_at[seq[some]]
+            at = np.repeat(first - np.cumsum(lists) + lists, lists) + np.arange(lists.sum())
+            cell = np.repeat(word, lists) * n + self.of_seq[at]
+            got = np.bincount(cell, np.repeat(weight, lists) * self.seq_weight[at], len(parts) * n).reshape(-1, n)
+            np.maximum.at(out, owner, got) if len(parts) > len(words) else out.__setitem__(owner, got)
         return out
 
     def evidence(self, words: list[str]) -> np.ndarray:
-        """Kernel values between floor and ceiling, scaled to 0..1."""
-        return np.clip((self.kernel(words) - FLOOR) / (CEILING - FLOOR), 0, 1)
+        """The power of the kernel values, which the sentence kernel adds up."""
+        k = np.minimum(self.kernel(words), 1)
+        return np.where(k < FLOOR, 0, k**POWER)
 
-    def learn_words(self, words: list[str]) -> None:
-        """Note the evidence of words met for the first time; most have none.
+    def describe(self, parts: list[list[str]], row: dict[str, int], kept: np.ndarray) -> np.ndarray:
+        """Kernel values of a document's sentences with the landmarks.
 
-        All of ``words`` are known afterwards, also when older ones are let go.
-        """
-        new = [w for w in dict.fromkeys(words) if w not in self._row]
-        if new and len(self._row) > CACHE:
-            self._row, self._kept = {}, []
-            new = list(dict.fromkeys(words))
-        for i in range(0, len(new), 4000):
-            part = new[i : i + 4000]
-            z = self.evidence(part)
-            some = z.any(1)
-            for k, w in enumerate(part):
-                if some[k]:
-                    self._kept.append(z[k])
-                    self._row[w] = len(self._kept)
-                else:
-                    self._row[w] = 0
-
-    def describe(self, parts: list[list[str]], alone: bool = False) -> np.ndarray:
-        """Distinct descriptions of the sentences of one document.
-
-        Sentences without evidence share one row of zeros, kept if there is
-        such a sentence or none at all. With ``alone``, each word that has
-        evidence counts as a sentence too.
+        Each word that has evidence counts as a sentence too; sentences without
+        any share one row of zeros. ``row`` numbers the words in ``kept``; 0 is
+        a word without evidence.
         """
-        row, rows, empty = self._row, [], not parts
+        rows, empty = [], not parts
         for s in parts:
             found = [k for w in s if (k := row[w])]
             if found:
-                rows.append(np.max([self._kept[k - 1] for k in found], 0))
-                rows += [self._kept[k - 1] for k in set(found)] if alone and len(found) > 1 else []
+                rows.append(kept[found].sum(0))
+                rows += list(kept[sorted(set(found))]) if len(found) > 1 else []
             else:
                 empty = True
-        return np.array(rows + [np.zeros(len(self.landmarks), np.float32)] * empty)
+        return np.array(rows + [np.zeros(len(self.landmarks))] * empty)
 
     def decide(self, z: np.ndarray) -> np.ndarray:
         """Signed distance of sentences from the border."""
@@ -188,15 +183,26 @@ class Machine:
         smooth = 1 / (1 + np.exp(-np.clip(self.slope * margin + self.offset, -30, 30)))
         return smooth if self.knots is None else 0.9 * np.interp(margin, *self.knots) + 0.1 * smooth
 
-    def train(self, docs: list[tuple[list[list[str]], int]], rounds: int = 4) -> None:
-        """Fit machine and calibration on labelled documents."""
-        for i in range(0, len(docs), 200):
-            self.learn_words([w for d, _ in docs[i : i + 200] for s in d for w in s])
-        described = [self.describe(self._known(d), True) @ self.white for d, _ in docs]
+    def train(self, docs: list[tuple[list[list[str]], int]], rates: tuple[float, float] = (1.0, 1.0), rounds: int = 4) -> None:
+        """Fit machine and calibration on labelled documents.
+
+        ``rates``: the shares of other and of toxic documents that were drawn.
+        """
+        row, kept = {}, [np.zeros((1, len(self.landmarks)))]
+        words = list(dict.fromkeys(w for d, _ in docs for s in d for w in s))
+        for i in range(0, len(words), 4000):
+            z = self.evidence(words[i : i + 4000])
+            some = np.cumsum(z.any(1))
+            row.update(zip(words[i : i + 4000], np.where(z.any(1), some + sum(map(len, kept)) - 1, 0).tolist(), strict=True))
+            kept.append(z[z.any(1)])
+        kept = np.concatenate(kept)
+        described = [self.describe(d, row, kept) @ self.white for d, _ in docs]
         y = np.array([t for _, t in docs])
         if y.min(initial=1) == y.max(initial=0) or not len(self.landmarks):
             self.offset = math.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
             return
+        share = np.where(y == 1, 1 / rates[1], 1 / rates[0])
+        share *= len(y) / share.sum()
         clean = np.unique(np.concatenate([x for x, t in zip(described, y, strict=True) if not t]).round(5), axis=0)
         toxic = [x for x, t in zip(described, y, strict=True) if t]
         chosen = np.array([x[np.linalg.norm(x, axis=1).argmax()] for x in toxic])
@@ -227,32 +233,47 @@ class Machine:
         design = np.c_[margin, np.ones(len(margin))]
         for _ in range(50):
             p = 1 / (1 + np.exp(-np.clip(design @ [slope, offset], -30, 30)))
-            h = (design.T * (p * (1 - p))) @ design + 1e-3 * np.eye(2)
-            d = np.linalg.solve(h, design.T @ (y - p) - 1e-3 * np.array([slope, offset]))
+            h = (design.T * (share * p * (1 - p))) @ design + 1e-3 * np.eye(2)
+            d = np.linalg.solve(h, design.T @ (share * (y - p)) - 1e-3 * np.array([slope, offset]))
             slope, offset = slope + d[0], offset + d[1]
         self.slope, self.offset = max(0.0, float(slope)), float(offset)
-        self.knots = _monotone(margin, y)
+        self.knots = _monotone(margin, y, share)
 
-    def _known(self, parts: list[list[str]]) -> list[list[str]]:
-        """The sentences, after their words are noted."""
-        self.learn_words([w for s in parts for w in s])
-        return parts
+    def forget(self) -> None:
+        """Let go of the words met so far."""
+        self._known.clear()
 
     def score(self, texts: list[str | None]) -> np.ndarray:
-        """Score of each whole text."""
-        out = np.zeros(len(texts))
+        """Score of each whole text.
+
+        Features are sums over words, so each word adds one number to the
+        margin of its sentence.
+        """
+        known, out = self._known, np.zeros(len(texts))
+        toward = self.white @ self.weight
         for i in range(0, len(texts), 256):
             docs = [sentences(t) for t in texts[i : i + 256]]
-            self.learn_words([w for d in docs for s in d for w in s])
-            out[i : i + 256] = [self.decide(self.describe(self._known(d))).max() for d in docs]
-        return self.probability(out)
-
-
-def _monotone(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rising share of ``y`` over ``x`` by pooling adjacent violators."""
+            new = {w for d in docs for s in d for w in s if w not in known}
+            if len(known) + len(new) > CACHE:
+                known.clear()
+                new = {w for d in docs for s in d for w in s}
+            new = list(new)
+            for k in range(0, len(new), 4000):
+                part = new[k : k + 4000]
+                known.update(zip(part, (self.evidence(part) @ toward).tolist(), strict=True))
+            get = known.__getitem__
+            out[i : i + 256] = [max((sum(map(get, s)) for s in d), default=0.0) for d in docs]
+        return self.probability(out + self.bias)
+
+
+def _monotone(x: np.ndarray, y: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rising share of ``y`` over ``x`` by pooling adjacent violators.
+
+    ``share``: how many rows each row stands for.
+    """
     blocks: list[list[float]] = []  # sum of x, sum of y, size
     for k in np.argsort(x, kind="stable"):
-        blocks.append([x[k], y[k], 1.0])
+        blocks.append([x[k] * share[k], y[k] * share[k], share[k]])
         while len(blocks) > 1 and blocks[-2][1] * blocks[-1][2] >= blocks[-1][1] * blocks[-2][2]:
             last = blocks.pop()
             blocks[-1] = [a + b for a, b in zip(blocks[-1], last, strict=True)]
@@ -263,9 +284,12 @@ def choose_landmarks(docs: list[tuple[list[list[str]], int]], n: int = LANDMARKS
     """Words that differ most between toxic and other documents."""
     of = [Counter(), Counter()]
     size = [0, 0]
+    bare: dict[str, str] = {}
     for d, t in docs:
         size[t] += 1
-        of[t].update({"".join(c for c in w if _code(c)) for s in d for w in s})
+        found = {w for s in d for w in s}
+        bare.update((w, "".join(c for c in w if _code(c))) for w in found if w not in bare)
+        of[t].update({bare[w] for w in found})
     if not all(size):
         return []
     rank = {}
@@ -280,25 +304,34 @@ def choose_landmarks(docs: list[tuple[list[list[str]], int]], n: int = LANDMARKS
 def fit(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = (SAMPLE_TOXIC, SAMPLE_CLEAN)) -> Machine:
     """A machine learned from labelled documents, about ``sample`` of each label.
 
-    A document that is labelled more than once counts as toxic if any label
-    says so. Null labels and null ids teach nothing.
+    Documents are drawn by a hash of the id, so the sample does not depend on
+    the order of rows. A document that is labelled more than once counts as
+    toxic if any label says so; of several texts of one id the smallest
+    teaches. Null labels and null ids teach nothing; without labels of both
+    kinds, every text gets one score.
     """
     known = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("__toxic"))
     counts = {r[0]: r[1] for r in known.groupBy("__toxic").count().collect()}
     share = F.lit(0)
     for label, most in ((1, sample[0]), (0, sample[1])):
         share = F.when(F.col("__toxic") == label, F.lit(int(min(1.0, most / max(1, counts.get(label, 0))) * 10**12))).otherwise(share)
-    chosen = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(10**12)) < share).limit(2 * sum(sample))
-    # At most 2 * sum(sample) rows of two numbers: small at any size of input.
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).limit(2 * sum(sample)).collect()
+    chosen = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(10**12)) < share)
+    # About sum(sample) rows of two numbers: small at any size of input.
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("__toxic").alias("__toxic")).collect()
     found = sorted((sentences(r["text"]), int(r["__toxic"] == 1)) for r in rows)
     machine = Machine(choose_landmarks(found))
-    machine.train(found)
+    machine.train(found, tuple(min(1.0, most / max(1, counts.get(label, 0))) for label, most in ((0, sample[1]), (1, sample[0]))))
     return machine
 
 
 def score(docs: DataFrame, machine: Machine) -> DataFrame:
-    """doc_id, score and predicted of each row; null texts count as empty."""
+    """doc_id, score and predicted of each row.
+
+    Null texts count as empty, long ones are scored whole, repeated rows are
+    scored alike and kept; an empty table gives no rows. Other columns are left
+    out, whatever their names.
+    """
     ddl = "doc_id long, score double, predicted int"
     schema = shared.pa_schema(docs.sparkSession, ddl)
     sent = docs.sparkSession.sparkContext.broadcast(machine)
@@ -308,7 +341,7 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
             s = sent.value.score(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(run, ddl)
+    return docs.select("doc_id", "text").mapInArrow(shared.tidied(run, lambda: sent.value.forget()), ddl)
 
 
 def score_corpus(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -66,6 +66,35 @@ def test_scores_do_not_depend_on_the_cache(monkeypatch):
     assert np.allclose(m.score(texts), want)
 
 
+def naive(m, text):
+    """Score of a text by the sentence kernel written out, pair by pair."""
+    best = None
+    for s in toxicity.sentences(text) or [[]]:
+        z = np.array([sum(k**toxicity.POWER for w in s if (k := brute_kernel(w, x)) >= toxicity.FLOOR) for x in m.landmarks])
+        margin = z @ m.white @ m.weight + m.bias
+        best = margin if best is None else max(best, margin)
+    return float(m.probability(np.array([best]))[0])
+
+
+def test_query_matches_the_kernel_written_out(spark):
+    m, texts = machine(), [t for t, _ in labelled(40, 6)] + [None, "", "tho i.d.i.o.t! ra", "idiot " * 200]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.score for r in toxicity.score(docs, m).collect()}
+    assert np.allclose([got[k] for k in range(len(texts))], [naive(m, t) for t in texts], atol=0.03)
+
+
+def test_scores_keep_their_meaning_when_clean_labels_are_thinned():
+    docs = sorted((toxicity.sentences(t), y) for t, y in labelled(1500, 7))
+    test = [t for t, _ in labelled(300, 8)]
+    thin = [d for k, d in enumerate(docs) if d[1] or k % 4 == 0]
+    scores = []
+    for sample, rates in ((docs, (1.0, 1.0)), (thin, (0.25, 1.0))):
+        m = toxicity.Machine(INSULTS)
+        m.train(sample, rates)
+        scores.append(m.score(test))
+    assert np.abs(scores[0] - scores[1]).mean() < 0.05
+
+
 def test_rows(spark):
     texts = labelled(300, 3)
     docs = spark.createDataFrame([(i, t, 0.5) for i, (t, _) in enumerate(texts)] + [(900, None, 0.1), (900, None, 0.1)], "doc_id long, text string, score double")
