@@ -11,9 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import losses
-from ..plans.storage import checkpointed
+from ..plans.storage import Rewritten
 from . import sampling
-from .trees import Tree, TreeParams, grow
+from .trees import Tree, TreeParams, binned, grow, quantile_bins
 
 CASE_TREES = 5  # up to so many trees are scored as one expression
 
@@ -158,8 +158,9 @@ def _walk(tree, x: np.ndarray) -> np.ndarray:
 def fit(df: DataFrame, features: list[str], params: BoostParams = BoostParams(), y: str = "y", amount: str | None = "amount", key: str = "id") -> Booster:
     """Fit an ensemble; ``key`` identifies rows for splits and subsamples.
 
-    The running log odds are a column; it is checkpointed after every tree, so
-    plans do not grow. Without amounts every amount is 1.
+    Bins are found once. The rows are written with their running log odds once
+    every few trees; between, those of the last trees are an expression, so
+    plans stay short and little is rewritten. Without amounts every amount is 1.
     """
     validate(df, features, y, amount)
     loss = losses.loss_of(params.loss, params.fp_cost)
@@ -169,23 +170,27 @@ def fit(df: DataFrame, features: list[str], params: BoostParams = BoostParams(),
         data = sampling.early_stop_split(data, params.validation_fraction, "y", key, params.random_state)
     else:
         data = data.withColumn("is_val", F.lit(False))
-    data = loss.weigh(data, "y", "amount")
-    base = base_score(data.filter("not is_val"))
-    data = checkpointed(data.withColumn("raw", F.lit(base)))
+    if params.mode == "hist":
+        data = binned(data, features, quantile_bins(data.filter("not is_val"), features, params.bins))
+    table = Rewritten(loss.weigh(data, "y", "amount").withColumn("raw", F.lit(0.0)))
+    base = base_score(table.df.filter("not is_val"))
     model = Booster(features, base, params.learning_rate)
     tree_params = TreeParams(params.max_depth, params.min_leaf, params.min_split, params.min_gain, params.reg_lambda, params.mode, params.bins)
-    best, waited = float("inf"), 0
+    best, waited, raw, pending = float("inf"), 0, F.lit(base), 0
     for k in range(params.n_estimators):
         p = losses.sigmoid(F.col("raw"))
-        rows = data.filter("not is_val").withColumns({"g": loss.gradient(F.col("y"), p), "h": loss.hessian(F.col("y"), p)})
+        rows = table.df.filter("not is_val").withColumn("raw", raw).withColumns({"g": loss.gradient(F.col("y"), p), "h": loss.hessian(F.col("y"), p)})
         if params.subsample < 1:
             rows = sampling.exact_share(rows, params.subsample, key, params.random_state + k)
         chosen = sampling.feature_subset(features, params.colsample, params.random_state + k)
-        tree = grow(rows, chosen, tree_params)
+        tree = grow(rows, chosen, tree_params, is_binned=True)
         model.trees.append(tree)
-        data = checkpointed(data.withColumn("raw", F.col("raw") + params.learning_rate * tree.predict()))
+        raw, pending = raw + params.learning_rate * tree.predict(), pending + 1
+        if pending == CASE_TREES and k + 1 < params.n_estimators:
+            table.write(table.df.withColumn("raw", raw))
+            raw, pending = F.col("raw"), 0
         value = loss.value(F.col("y"), losses.sigmoid(F.col("raw")))
-        found = {r["is_val"]: r["v"] for r in data.groupBy("is_val").agg(F.avg(value).alias("v")).collect()}
+        found = {r["is_val"]: r["v"] for r in table.df.withColumn("raw", raw).groupBy("is_val").agg(F.avg(value).alias("v")).collect()}
         model.train_loss.append(found.get(False, 0.0))
         if True not in found:
             model.best_iteration = k
@@ -197,4 +202,5 @@ def fit(df: DataFrame, features: list[str], params: BoostParams = BoostParams(),
             waited += 1
             if stop and waited >= stop:
                 break
+    table.close()
     return model

@@ -119,23 +119,21 @@ def time_splits(df: DataFrame, k: int, ts: str, key: str) -> DataFrame:
 def exact_share(df: DataFrame, share: float, key: str, seed: int) -> DataFrame:
     """int(share * n) rows chosen by a hash of the key.
 
-    A threshold on the hash is found from counts per slice of it; only the
-    slice that holds the threshold is ordered.
+    The hash of the last row is found from counts per slice of it; rows are
+    only compared with that.
     """
-    h = F.xxhash64(F.col(key), F.lit(seed))
-    marked = df.withColumn("__h", h).withColumn("__s", F.shiftright(h, 52))
-    counts = sorted((r["__s"], r["count"]) for r in marked.groupBy("__s").count().collect())
-    left = int(share * sum(c for _, c in counts))
-    edge = None
-    for s, c in counts:
-        if c > left:
-            edge = s
-            break
-        left -= c
-    if edge is None:
+    order = ["__h", key]
+    marked = df.withColumn("__h", F.xxhash64(F.col(key), F.lit(seed)))
+    asked: list[int] = []
+
+    def ranks(_, n: int) -> list[int]:
+        asked.extend((int(share * n), n))
+        return [asked[0]]
+
+    found = ordering.rows_at(marked.select(*order).withColumn("__s", ordering.hash_slice(F.col("__h"))), order, ranks)
+    if not asked or asked[0] >= asked[1]:
         return df
-    cut = marked.filter(F.col("__s") == edge).orderBy("__h", key).limit(left)
-    return marked.filter(F.col("__s") < edge).unionByName(cut).drop("__h", "__s")
+    return marked.filter(ordering.up_to(marked, order, found[None, asked[0]]) if asked[0] else F.lit(False)).drop("__h")
 
 
 def feature_subset(features: list[str], share: float, seed: int) -> list[str]:

@@ -1,10 +1,11 @@
 """Regression trees on gradients, grown level by level.
 
 One aggregation per level serves all nodes: gradient sums per (node, feature,
-value), prefix sums over the values, and the best split per node. In ``hist``
-mode values are first cut into quantile bins, so what one (node, feature)
-holds is bounded whatever the size of the data. Only the splits of a level,
-at most one row per node, come to the driver.
+value), prefix sums over the values, and the best split per node, which also
+gives the sums of its children. In ``hist`` mode values are first cut into
+quantile bins, so what one (node, feature) holds is bounded whatever the size
+of the data. Only the splits of a level, at most one row per node, come to the
+driver.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import reached
+
 
 @dataclass(frozen=True)
 class TreeParams:
@@ -114,11 +117,25 @@ def quantile_bins(df: DataFrame, features: list[str], bins: int) -> dict[str, li
     return {f: sorted(set(row[f] or [])) for f in features}
 
 
+def binned(df: DataFrame, features: list[str], edges: dict[str, list[float]]) -> DataFrame:
+    """``df`` with each value replaced by the upper edge of its bin."""
+    columns = {}
+    for f in features:
+        e = edges[f]
+        upper = F.array(*[F.lit(float(x)) for x in [*e, e[-1] + 1.0]]) if e else None
+        columns[f] = F.when(F.col(f).isNotNull(), F.element_at(upper, reached(F.col(f), e, strict=True) + 1)) if e else F.lit(None).cast("double")
+    return df.withColumns(columns)
+
+
+#: Sums of a node over all rows, over rows with a value, and over those to the left.
+SUMS = ["n_all", "g_all", "h_all", "n_ok", "g_ok", "h_ok", "gl", "hl"]
+
+
 def candidates(df: DataFrame, features: list[str], params: TreeParams) -> DataFrame:
-    """Every allowed split: node, f, threshold, nl, nr, gain.
+    """Every allowed split: node, f, threshold, nl, nr, gain, and sums of the node.
 
-    Thresholds lie midway between neighbouring values of a feature. Rows with
-    a missing value count in the parent's sums only.
+    Thresholds lie midway between neighbouring values of a feature, or at the
+    edge of a bin. Rows with a missing value count in the parent's sums only.
     """
     values = _long(df, features).groupBy("node", "f", "v").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.count("*").alias("n"))
     w = Window.partitionBy("node", "f").orderBy("v")
@@ -131,51 +148,43 @@ def candidates(df: DataFrame, features: list[str], params: TreeParams) -> DataFr
     out = out.withColumn("next", F.lead("v").over(w)).filter(valid & F.col("next").isNotNull())
     out = out.withColumn("nr", F.col("n_ok") - F.col("nl")).filter((F.col("nl") >= params.min_leaf) & (F.col("nr") >= params.min_leaf))
     gain = split_gain(F.col("gl"), F.col("hl"), F.col("g_ok") - F.col("gl"), F.col("h_ok") - F.col("hl"), F.col("g_all"), F.col("h_all"), params.reg_lambda)
-    return out.select("node", "f", ((F.col("v") + F.col("next")) / 2).alias("threshold"), "nl", "nr", gain.alias("gain"))
+    threshold = F.col("v") if params.mode == "hist" else (F.col("v") + F.col("next")) / 2
+    return out.select("node", "f", threshold.alias("threshold"), "nl", "nr", gain.alias("gain"), *SUMS)
 
 
 def best_splits(df: DataFrame, features: list[str], params: TreeParams) -> DataFrame:
     """The best split of each node; of equal gains the first feature, lowest threshold."""
     key = F.struct(F.round("gain", 12).alias("gain"), (-F.col("f")).alias("f"), (-F.col("threshold")).alias("threshold"))
-    best = candidates(df, features, params).groupBy("node").agg(F.max_by(F.struct("f", "threshold", "nl", "nr", "gain"), key).alias("b")).select("node", "b.*")
+    best = candidates(df, features, params).groupBy("node").agg(F.max_by(F.struct("f", "threshold", "nl", "nr", "gain", *SUMS), key).alias("b")).select("node", "b.*")
     names = F.array(*[F.lit(f) for f in features])
-    return best.filter(F.col("gain") >= params.min_gain).select("node", F.element_at(names, F.col("f") + 1).alias("feature"), "threshold", "nl", "nr", "gain", (F.col("nl") > F.col("nr")).alias("missing_left"))
-
-
-def grow(df: DataFrame, features: list[str], params: TreeParams = TreeParams()) -> Tree:
-    """A tree on columns g and h of ``df``."""
-    tree = Tree()
-    source = df
-    if params.mode == "hist":
-        edges = quantile_bins(df, features, params.bins)
-        columns = {}
-        for f in features:
-            e = edges[f]
-            binned = F.lit(None).cast("double") if not e else F.when(F.col(f).isNotNull(), F.lit(e[-1] + 1.0))
-            for x in reversed(e):
-                binned = F.when(F.col(f) <= x, F.lit(x)).otherwise(binned)
-            columns[f] = binned
-        source = df.withColumns(columns)
-    open_nodes = {0}
+    return best.filter(F.col("gain") >= params.min_gain).select("node", F.element_at(names, F.col("f") + 1).alias("feature"), "threshold", "nl", "nr", "gain", (F.col("nl") > F.col("nr")).alias("missing_left"), *SUMS)
+
+
+def grow(df: DataFrame, features: list[str], params: TreeParams = TreeParams(), is_binned: bool = False) -> Tree:
+    """A tree on columns g and h of ``df``, one job for the root and one a level.
+
+    ``is_binned``: the features hold bin edges already.
+    """
+    tree, source = Tree(), df
+    if params.mode == "hist" and not is_binned:
+        source = binned(df, features, quantile_bins(df, features, params.bins))
+    root = source.agg(F.count("*").alias("n"), F.sum("g").alias("g"), F.sum("h").alias("h")).first()
+    level = {0: (root["n"], root["g"] or 0.0, root["h"] or 0.0)}
     for depth in range(params.max_depth + 1):
-        placed = source.withColumn("node", tree.leaf() if tree.nodes else F.lit(0)).filter(F.col("node").isin(sorted(open_nodes)))
-        stats = {r["node"]: r for r in node_stats(placed).collect()}
-        for k, r in stats.items():
-            tree.nodes[k] = Node(-r["g"] / (r["h"] + params.reg_lambda), r["n"])
-        if depth == 0 and not stats:
-            tree.nodes[0] = Node(0.0, 0)
-        able = [k for k, r in stats.items() if depth < params.max_depth and r["n"] >= params.min_split and r["n"] > params.min_leaf]
+        for k, (n, g, h) in level.items():
+            tree.nodes[k] = Node(-g / (h + params.reg_lambda) if n else 0.0, n)
+        able = sorted(k for k, (n, _, _) in level.items() if depth < params.max_depth and n >= params.min_split and n > params.min_leaf)
         if not able:
             break
-        open_nodes = set()
-        for r in best_splits(placed.filter(F.col("node").isin(able)), features, params).collect():
-            node = tree.nodes[r["node"]]
+        placed = source.withColumn("node", tree.leaf()).filter(F.col("node").isin(able))
+        level = {}
+        for r in best_splits(placed, features, params).collect():
+            node, k = tree.nodes[r["node"]], r["node"]
             node.feature, node.threshold, node.gain, node.missing_left = r["feature"], r["threshold"], r["gain"], r["missing_left"]
-            for child in (2 * r["node"] + 1, 2 * r["node"] + 2):
-                tree.nodes[child] = Node(node.value, 0)
-                open_nodes.add(child)
-        if not open_nodes:
-            break
+            lost = (r["n_all"] - r["n_ok"], r["g_all"] - r["g_ok"], r["h_all"] - r["h_ok"])
+            left = [x + (y if node.missing_left else 0) for x, y in zip((r["nl"], r["gl"], r["hl"]), lost, strict=True)]
+            level[2 * k + 1] = tuple(left)
+            level[2 * k + 2] = (r["n_all"] - left[0], r["g_all"] - left[1], r["h_all"] - left[2])
     return tree
 
 

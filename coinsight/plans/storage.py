@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
@@ -20,6 +21,37 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Rewritten:
+    """A table in the shared folder that a loop writes anew now and then.
+
+    Parquet keeps columns prunable. The version before is removed once the new
+    one stands, so at most two are kept.
+    """
+
+    def __init__(self, df: DataFrame):
+        self.path = None
+        self.df = self.write(df)
+
+    def write(self, df: DataFrame) -> DataFrame:
+        """``df``, written and read again; it replaces what was written before."""
+        spark, old = df.sparkSession, self.path
+        self.path = f"{scratch(spark)}/loop-{uuid.uuid4().hex}"
+        df.write.parquet(self.path)
+        self.df = spark.read.schema(df.schema).parquet(self.path)
+        self._remove(spark, old)
+        return self.df
+
+    def close(self) -> None:
+        """Remove the table."""
+        self._remove(self.df.sparkSession, self.path)
+
+    @staticmethod
+    def _remove(spark, path: str | None) -> None:
+        if path:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def scratch(spark) -> str:
     """A folder that driver and executors share, for files of a query's own."""
     context = spark.sparkContext
