@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import metrics
+from .ordering import SLICES
 
 FLOOR = 1e-8
 QUANTILES = (0.1, 0.25, 0.5, 0.75, 0.9)
@@ -34,44 +35,67 @@ def reference_edges(df: DataFrame, features: list[str]) -> DataFrame:
 
     Up to ten distinct values: each value less a half, and the last plus a
     half. Else 21 percentiles without repeats; if fewer than three remain, the
-    range cut in two. Values are counted before percentiles are taken, so a
-    feature's own task sees its distinct values only.
+    range cut in two. Percentiles are exact: values are counted, ranked within
+    slices of the feature's range, and only those at a wanted rank are kept.
     """
     counted = unpivot(df, features).groupBy("feature", "v").agg(F.count("*").alias("c"))
-    ps = ", ".join(f"{k} / 20.0D" for k in range(21))
-    qs = ", ".join(f"{q}D" for q in QUANTILES)
-    stats = _stats(counted, ps, qs)
+    stats = _stats(counted, df, features)
     edges = F.when(F.col("distinct") <= 10, F.concat(F.transform("few", lambda x: x - 0.5), F.array(F.element_at("few", -1) + 0.5)))
     dedup = F.array_distinct("p")
     edges = edges.otherwise(F.when(F.size(dedup) < 3, F.array(F.col("lo"), (F.col("lo") + F.col("hi")) / 2, F.col("hi"))).otherwise(dedup))
     return stats.withColumn("edges", edges).select("feature", "n", "mean", "std", "quantiles", "edges")
 
 
-def _stats(counted: DataFrame, ps: str, qs: str) -> DataFrame:
-    first = counted.groupBy("feature").agg(
-        F.sum("c").alias("n"),
-        F.count("*").alias("distinct"),
-        F.expr(f"percentile(v, array({ps}), c)").alias("p"),
-        F.expr(f"percentile(v, array({qs}), c)").alias("quantiles"),
-        (F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("mean"),
-        F.min("v").alias("lo"),
-        F.max("v").alias("hi"),
-    )
-    spread = counted.join(F.broadcast(first.select("feature", "mean", "distinct")), "feature").groupBy("feature").agg(
-        F.sqrt(F.sum(F.col("c") * (F.col("v") - F.col("mean")) * (F.col("v") - F.col("mean"))) / F.sum("c")).alias("std"),
+def _stats(counted: DataFrame, df: DataFrame, features: list[str]) -> DataFrame:
+    """Moments, percentiles and the first values of each feature."""
+    cuts = df.agg(*[F.percentile_approx(F.col(f).cast("double"), [k / SLICES for k in range(1, SLICES)], 10 * SLICES).alias(f) for f in features]).first()
+    known = df.sparkSession.createDataFrame([(f, sorted(set(x for x in cuts[f] or [] if x == x))) for f in features], "feature string, cuts array<double>")
+    # Rising cuts of a feature: how many lie below a value, by halving steps.
+    steps = [1 << k for k in reversed(range(SLICES.bit_length()))]
+    place = F.aggregate(F.array(*[F.lit(x) for x in steps]), F.lit(0), lambda i, x: F.when((i + x <= F.size("cuts")) & (F.get("cuts", i + x - 1) < F.col("v")), i + x).otherwise(i))
+    sliced = counted.join(F.broadcast(known), "feature").select("feature", "v", "c", place.alias("s"))
+    # One row per feature and slice from here on.
+    per = sliced.groupBy("feature", "s").agg(F.sum("c").alias("sc"), F.count("*").alias("sd"), F.sum(F.col("v") * F.col("c")).alias("sv"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    w, whole = Window.partitionBy("feature").orderBy("s").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("feature")
+    offset = per.select(
+        "feature", "s", F.coalesce(F.sum("sc").over(w), F.lit(0)).alias("before"), F.sum("sc").over(whole).alias("n"), F.sum("sd").over(whole).alias("distinct"),
+        (F.sum("sv").over(whole) / F.sum("sc").over(whole)).alias("mean"), F.min("lo").over(whole).alias("lo"), F.max("hi").over(whole).alias("hi"),
+    )
+    inside = Window.partitionBy("feature", "s").orderBy("v")
+    ranked = sliced.withColumn("upto", F.sum("c").over(inside)).join(F.broadcast(offset), ["feature", "s"]).withColumn("last", F.col("before") + F.col("upto"))
+    first = F.col("last") - F.col("c")  # ranks first..last - 1 hold the value
+    shares = [*[k / 20.0 for k in range(21)], *QUANTILES]
+    ends = [(F.floor if low else F.ceil)(F.lit(q) * (F.col("n") - 1)) for q in shares for low in (True, False)]
+    found = ranked.groupBy("feature").agg(
+        F.first("n").alias("n"), F.first("distinct").alias("distinct"), F.first("mean").alias("mean"), F.first("lo").alias("lo"), F.first("hi").alias("hi"),
+        F.sqrt(F.sum(F.col("c") * (F.col("v") - F.col("mean")) * (F.col("v") - F.col("mean"))) / F.first("n")).alias("std"),
         F.sort_array(F.collect_list(F.when(F.col("distinct") <= 10, F.col("v")))).alias("few"),
-    )
-    return first.join(spread, "feature")
+        F.array(*[F.max(F.when((first <= r) & (r < F.col("last")), F.col("v"))) for r in ends]).alias("e"),
+    )
+    between = lambda i, q: F.get("e", F.lit(2 * i)) + (F.get("e", F.lit(2 * i + 1)) - F.get("e", F.lit(2 * i))) * (F.lit(q) * (F.col("n") - 1) - F.floor(F.lit(q) * (F.col("n") - 1)))
+    points = [between(i, q) for i, q in enumerate(shares)]
+    return found.withColumn("p", F.array(*points[:21])).withColumn("quantiles", F.array(*points[21:]))
 
 
-def histogram(df: DataFrame, reference: DataFrame) -> DataFrame:
-    """feature, bin, c: values in each bin; the last bin is closed, values outside are left out."""
-    features = [r["feature"] for r in reference.select("feature").collect()]
-    values = unpivot(df, features).groupBy("feature", "v").agg(F.count("*").alias("c"))
-    placed = values.join(F.broadcast(reference.select("feature", "edges")), "feature")
+def _binned(df: DataFrame, reference: DataFrame, features: list[str]) -> DataFrame:
+    """feature, bin (null: outside), and the sums of each feature's values there.
+
+    Values go straight into their bin, so what is shuffled is a row per bin.
+    """
+    placed = unpivot(df, features).join(F.broadcast(reference.select("feature", "edges", F.col("mean").alias("m0"))), "feature")
     inside = (F.col("v") >= F.element_at("edges", 1)) & (F.col("v") <= F.element_at("edges", -1))
-    b = F.least(F.size(F.filter("edges", lambda e: e <= F.col("v"))), F.size("edges") - 1) - 1
-    return placed.filter(inside).groupBy("feature", b.alias("bin")).agg(F.sum("c").alias("c"))
+    b = F.when(inside, F.least(F.size(F.filter("edges", lambda e: e <= F.col("v"))), F.size("edges") - 1) - 1)
+    gap = F.col("v") - F.col("m0")  # from the reference's mean, which keeps squares small
+    return placed.groupBy("feature", b.alias("bin")).agg(F.count("*").alias("c"), F.sum(gap).alias("s1"), F.sum(gap * gap).alias("s2"))
+
+
+def _features(reference: DataFrame) -> list[str]:
+    return sorted(r["feature"] for r in reference.select("feature").collect())
+
+
+def histogram(df: DataFrame, reference: DataFrame, features: list[str] | None = None) -> DataFrame:
+    """feature, bin, c: values in each bin; the last bin is closed, values outside are left out."""
+    return _binned(df, reference, features or _features(reference)).filter("bin is not null").select("feature", "bin", "c")
 
 
 def _shares(hist: DataFrame, reference: DataFrame, name: str) -> DataFrame:
@@ -81,18 +105,31 @@ def _shares(hist: DataFrame, reference: DataFrame, name: str) -> DataFrame:
     return full.select("feature", "bin", F.when(F.col("t") > 0, F.greatest(F.coalesce("c", F.lit(0)) / F.col("t"), F.lit(FLOOR))).alias(name))
 
 
+def _psi(r: DataFrame, c: DataFrame, reference: DataFrame) -> DataFrame:
+    both = _shares(r, reference, "r").join(_shares(c, reference, "c"), ["feature", "bin"])
+    return both.groupBy("feature").agg(F.sum((F.col("c") - F.col("r")) * F.log(F.col("c") / F.col("r"))).alias("psi"))
+
+
+def held(found: DataFrame) -> DataFrame:
+    """A small result, a row per feature and bin at most, kept by the driver."""
+    return found.sparkSession.createDataFrame(found.collect(), found.schema)
+
+
 def stability(reference: DataFrame, base: DataFrame, current: DataFrame) -> DataFrame:
     """feature and psi; null where no current value is in range."""
-    r = _shares(histogram(base, reference), reference, "r")
-    c = _shares(histogram(current, reference), reference, "c")
-    return r.join(c, ["feature", "bin"]).groupBy("feature").agg(F.sum((F.col("c") - F.col("r")) * F.log(F.col("c") / F.col("r"))).alias("psi"))
+    reference = held(reference)
+    return _psi(histogram(base, reference), histogram(current, reference), reference)
 
 
 def summary(reference: DataFrame, base: DataFrame, current: DataFrame) -> DataFrame:
-    """feature, psi, mean_shift and std_ratio."""
-    features = [r["feature"] for r in reference.select("feature").collect()]
-    now = unpivot(current, features).groupBy("feature").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"))
-    return stability(reference, base, current).join(reference.join(now, "feature", "left"), "feature").select("feature", "psi", (F.col("m") - F.col("mean")).alias("mean_shift"), (F.col("s") / F.greatest("std", F.lit(FLOOR))).alias("std_ratio"))
+    """feature, psi, mean_shift and std_ratio, each table read once."""
+    reference = held(reference)
+    features = _features(reference)
+    now = held(_binned(current, reference, features))
+    psi = _psi(held(histogram(base, reference, features)), now.filter("bin is not null").select("feature", "bin", "c"), reference)
+    moments = now.groupBy("feature").agg(F.sum("c").alias("k"), F.sum("s1").alias("s1"), F.sum("s2").alias("s2"))
+    spread = F.sqrt(F.greatest(F.col("s2") / F.col("k") - (F.col("s1") / F.col("k")) ** 2, F.lit(0.0)))
+    return psi.join(reference.join(moments, "feature", "left"), "feature").select("feature", "psi", (F.col("s1") / F.col("k")).alias("mean_shift"), (spread / F.greatest("std", F.lit(FLOOR))).alias("std_ratio"))
 
 
 def detect(found: DataFrame, params: DriftParams = DriftParams()) -> DataFrame:

@@ -12,6 +12,7 @@ from ..plans.storage import checkpointed
 
 DENSE_NODES = 4000  # spectra of graphs up to this size are taken on the driver
 HELD_NODES, HELD_EDGES = 200_000, 2_000_000  # larger graphs are iterated on tables
+SENT_EDGES = 3_000_000  # of 16 bytes; more are shuffled
 ROUNDS = 60  # rounds of subspace iteration before it counts as failed
 DEGREE = 8  # of the polynomial between two rounds
 RESIDUAL = 1e-6  # length of Lx - vx at which a vector x with value v is found
@@ -65,21 +66,44 @@ def laplacian(graph: DataFrame) -> DataFrame:
     return graph.join(a, "src").join(b, "dst").select("src", "dst", (-F.col("w") / F.sqrt(F.greatest("ds", F.lit(1e-12)) * F.greatest("dd", F.lit(1e-12)))).alias("v"))
 
 
+def _numbered(d: DataFrame) -> DataFrame:
+    """``d`` (node, k) with id: a 64-bit number of the order of k, all distinct.
+
+    Below the degree stands the row's place: its partition's offset and its
+    place there. The table is checkpointed, so places stay.
+    """
+    kept = checkpointed(d.withColumn("m", F.monotonically_increasing_id()))
+    part = F.shiftright("m", 33).cast("int")
+    before, offsets = 0, []
+    for r in sorted(kept.groupBy(part.alias("part")).count().collect()):
+        offsets.append((r["part"], before))
+        before += r["count"]
+    offset = F.broadcast(d.sparkSession.createDataFrame(offsets, "part int, offset long"))
+    place = F.col("offset") + F.col("m").bitwiseAND((1 << 33) - 1)
+    return kept.withColumn("part", part).join(offset, "part").select("node", "k", (F.shiftleft(F.least("k", F.lit(1 << 22)).cast("long"), 40) + place).alias("id"))
+
+
 def clustering(graph: DataFrame) -> DataFrame:
     """node and clustering coefficient, 0 with fewer than two neighbours.
 
-    Edges are turned from the smaller to the larger (degree, name), which
-    bounds the wedges of a node by the square root of the edges.
+    Nodes are numbered in the order of their degrees, and edges turned
+    from the smaller to the larger, which bounds the wedges of a node by the
+    square root of the edges. Each wedge is made once, its ends in order, and
+    meets the edges in a hash join, up to SENT_EDGES of them where it is made;
+    only closed ones go on.
     """
-    plain = graph.filter("src <> dst").select("src", "dst").distinct()
-    d = plain.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("k"))
-    a, b = d.select(F.col("node").alias("src"), F.col("k").alias("ks")), d.select(F.col("node").alias("dst"), F.col("k").alias("kd"))
-    up = checkpointed(plain.join(a, "src").join(b, "dst").filter((F.col("ks") < F.col("kd")) | ((F.col("ks") == F.col("kd")) & (F.col("src") < F.col("dst")))).select("src", "dst"))
-    x, y = up.select(F.col("src").alias("a"), F.col("dst").alias("b")), up.select(F.col("src").alias("a"), F.col("dst").alias("c"))
-    wedges = x.join(y, "a").filter("b <> c")
-    corners = wedges.join(up.select(F.col("src").alias("b"), F.col("dst").alias("c")), ["b", "c"])
-    credited = corners.select(F.explode(F.array("a", "b", "c")).alias("node")).groupBy("node").agg(F.count("*").alias("t"))
-    both = d.join(credited, "node", "left")
+    plain = graph.filter("src < dst").select("src", "dst").unionByName(graph.filter("src > dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    d = plain.select(F.explode(F.array("src", "dst")).alias("node")).groupBy("node").agg(F.count("*").alias("k"))
+    number = _numbered(d)
+    ids = number.select("node", "id")
+    a, b = ids.select(F.col("node").alias("src"), F.col("id").alias("x")), ids.select(F.col("node").alias("dst"), F.col("id").alias("y"))
+    up = checkpointed(plain.join(a, "src").join(b, "dst").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+    wedges = up.join(up.select("a", F.col("b").alias("c")), "a").filter("b < c")
+    closing = up.select(F.col("a").alias("b"), F.col("b").alias("c"))
+    closing = F.broadcast(closing) if up.count() <= SENT_EDGES else closing.hint("shuffle_hash")
+    corners = wedges.join(closing, ["b", "c"])
+    credited = corners.select(F.explode(F.array("a", "b", "c")).alias("id")).groupBy("id").agg(F.count("*").alias("t"))
+    both = number.join(credited, "id", "left")
     return both.select("node", F.when(F.col("k") >= 2, 2.0 * F.coalesce("t", F.lit(0)) / (F.col("k") * (F.col("k") - 1))).otherwise(0.0).alias("clustering"))
 
 

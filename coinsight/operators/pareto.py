@@ -33,16 +33,17 @@ def frontier(swept: DataFrame) -> DataFrame:
 
 
 def recommendations(front: DataFrame) -> DataFrame:
-    """strategy and the row of the frontier it takes, the lowest threshold of equal ones."""
-    parts = []
+    """strategy and the row of the frontier it takes, the lowest threshold of equal ones.
+
+    One aggregation takes all strategies.
+    """
+    best = []
     for name, metric in STRATEGIES:
-        rows = front.filter(~F.col(metric).isin(float("inf"), float("-inf"))) if name == "max_roi" else front
-        best = rows.agg(F.max_by(F.struct(*front.columns), F.struct(F.round(metric, 9), -F.col("t"))).alias("b"))
-        parts.append(best.select(F.lit(name).alias("strategy"), "b.*").filter("t is not null"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        row = F.struct(F.lit(name).alias("strategy"), *front.columns)
+        allowed = ~F.col(metric).isin(float("inf"), float("-inf")) if name == "max_roi" else F.lit(True)
+        # Rows left out have a null key, which max_by passes over.
+        best.append(F.max_by(row, F.when(allowed & F.col(metric).isNotNull(), F.struct(F.round(metric, 9), -F.col("t")))))
+    return front.agg(F.array(*best).alias("b")).select(F.explode("b").alias("b")).filter("b is not null and b.t is not null").select("b.*")
 
 
 def fit(df: DataFrame, cost: float = 100.0, thresholds: DataFrame | None = None, **more) -> tuple[DataFrame, DataFrame, DataFrame]:
