@@ -61,7 +61,10 @@ def _assembled(df: DataFrame, names: list[str]) -> DataFrame:
 
 @dataclass
 class Baseline:
-    """A library model with class weights: gbt, forest or logistic."""
+    """A library model: gbt, forest or logistic with class weights, or plain.
+
+    ``plain`` is logistic regression without weights and on unscaled inputs.
+    """
 
     kind: str
     names: list[str]
@@ -71,8 +74,12 @@ class Baseline:
     def fit(self, df: DataFrame, y: str = "y", trees: int = 20, depth: int = 5, c: float = 1.0) -> Baseline:
         from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 
-        weighed = with_class_weight(df.withColumn("__y", F.col(y).cast("double")), "positive" if self.kind == "gbt" else "balanced", y, "__w")
-        if self.kind == "logistic":
+        named = df.withColumn("__y", F.col(y).cast("double"))
+        weighed = named.withColumn("__w", F.lit(1.0)) if self.kind == "plain" else with_class_weight(named, "positive" if self.kind == "gbt" else "balanced", y, "__w")
+        if self.kind == "plain":
+            rows = weighed
+            learner = LogisticRegression(regParam=1.0 / (c * max(1, rows.count())), standardization=False, maxIter=1000)
+        elif self.kind == "logistic":
             self.scaled = features.fit_scale(weighed, self.names)
             rows = features.scale(weighed, self.scaled)
             learner = LogisticRegression(regParam=1.0 / (c * max(1, rows.count())), standardization=False)
@@ -140,7 +147,7 @@ class Stack:
 
     def fit(self, df: DataFrame, y: str = "y", amount: str = "amount", key: str = "id") -> Stack:
         oof = self.out_of_fold(df, y, amount, key).withColumn("log_amount", F.log1p(amount))
-        self.meta = Baseline("logistic", ["p1", "p2", amount, "log_amount"]).fit(oof, y)
+        self.meta = Baseline("plain", ["p1", "p2", amount, "log_amount"]).fit(oof, y)
         self.first = Baseline("gbt", self.names).fit(df, y)
         self.second = boosting.fit(df, self.names, replace(self.params, early_stopping_rounds=None), y, amount, key)
         return self
@@ -151,6 +158,6 @@ class Stack:
         return self.meta.with_proba(base, "p")
 
     def coefficients(self) -> dict[str, float]:
-        """Weights of the second level, on scaled inputs."""
+        """Weights of the second level."""
         m = self.meta.model
         return dict(zip([*self.meta.names, "intercept"], [*map(float, m.coefficients), float(m.intercept)], strict=True))

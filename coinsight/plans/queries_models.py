@@ -386,7 +386,7 @@ def pl_sum(spark, d):
 
 @register("STREAM-DRIFT")
 def stream_drift(spark, d):
-    """Drift reports of a stream of events against the first half of them."""
+    """Drift reports of a stream of all events against those up to the median time."""
     import uuid
 
     from ..operators import drift
@@ -394,7 +394,9 @@ def stream_drift(spark, d):
     from .storage import scratch
 
     path = f"{d}/events.parquet"
-    base = spark.read.parquet(path).filter("event_id % 2 = 0")
+    events = spark.read.parquet(path)
+    middle = events.agg(F.percentile_approx(F.unix_micros("ts"), 0.5)).first()[0]
+    base = events.filter(F.unix_micros("ts") <= F.lit(middle))
     reference = drift.reference_edges(base, ["value"])
     at = f"{scratch(spark)}/drift-{uuid.uuid4().hex}"
     stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path if _is_folder(spark, path) else f"{path}*")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import ordering
+
 
 def markdown_lines(table: DataFrame) -> DataFrame:
     """A small result as lines of a markdown table, in order of line."""
@@ -21,14 +23,22 @@ def save_markdown(table: DataFrame, path: str) -> None:
     markdown_lines(table).orderBy("line").select("text").coalesce(1).write.mode("overwrite").text(path)
 
 
+def thinned(points: DataFrame, x: str, most: int = 1000) -> DataFrame:
+    """About ``most`` rows, spread evenly over the order of ``x``, both ends among them."""
+    sliced = points.withColumn("__s", F.coalesce(ordering.range_slice(points, x, most), F.lit(-1)))
+    row = F.struct(*points.columns)
+    ends = points.agg(F.max_by(row, x).alias("r"))
+    return sliced.groupBy("__s").agg(F.min_by(row, x).alias("r")).select("r").unionByName(ends).filter("r is not null").select("r.*").distinct()
+
+
 def save_chart(points: DataFrame, x: str, y: str, path: str) -> None:
-    """Draw at most a thousand points; needs matplotlib."""
+    """Draw a curve, thinned to about a thousand points; needs matplotlib."""
     import matplotlib
 
     matplotlib.use("Agg")
     from matplotlib import pyplot
 
-    rows = points.orderBy(x).limit(1000).collect()
+    rows = thinned(points, x).orderBy(x).collect()
     pyplot.figure()
     pyplot.plot([r[x] for r in rows], [r[y] for r in rows])
     pyplot.xlabel(x)

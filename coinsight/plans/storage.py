@@ -2,22 +2,31 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder, which executors share.
+def _shared_folder(spark) -> str:
+    """The checkpoint folder of the session, which executors share.
 
-    The session's own folder is used; one of this machine is set only where
-    there is none, as in tests.
+    A folder of this machine is set only where Spark runs in one process, as
+    in tests; on a cluster a missing setting is an error.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         found = context.getConf().get("spark.checkpoint.dir", None)
+        if found is None and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("spark.checkpoint.dir is not set; it names the folder that all executors share")
         context.setCheckpointDir(found or "file://" + tempfile.mkdtemp(prefix="coinsight-"))
+    return context.getConf().get("spark.checkpoint.dir", None) or context._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the checkpoint folder."""
+    _shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -54,10 +63,4 @@ class Rewritten:
 
 def scratch(spark) -> str:
     """A folder that driver and executors share, for files of a query's own."""
-    context = spark.sparkContext
-    found = context.getConf().get("spark.checkpoint.dir", None)
-    if found is None:
-        if not context._jsc.sc().getCheckpointDir().isDefined():
-            context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="coinsight-"))
-        found = context._jsc.sc().getCheckpointDir().get()
-    return f"{found.rstrip('/')}/coinsight"
+    return f"{_shared_folder(spark).rstrip('/')}/coinsight"
