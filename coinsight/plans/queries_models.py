@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import losses
-from ..operators import boosting, ensemble, metrics, pipeline, trees
+from ..operators import boosting, ensemble, metrics, ordering, pipeline, trees
 from ..sources import views
 from ..sources.views import SCORED, TREE_ROWS
 from .catalog import register, rounded
@@ -395,8 +395,9 @@ def stream_drift(spark, d):
 
     path = f"{d}/events.parquet"
     events = spark.read.parquet(path)
-    middle = events.agg(F.percentile_approx(F.unix_micros("ts"), 0.5)).first()[0]
-    base = events.filter(F.unix_micros("ts") <= F.lit(middle))
+    at = ordering.number(events, "ts")
+    middle = events.agg(F.percentile_approx(at, 0.5)).first()[0]
+    base = events.filter(at <= F.lit(middle))
     reference = drift.reference_edges(base, ["value"])
     at = f"{scratch(spark)}/drift-{uuid.uuid4().hex}"
     stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path if _is_folder(spark, path) else f"{path}*")
