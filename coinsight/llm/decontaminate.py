@@ -20,6 +20,7 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -71,17 +72,30 @@ def aligned(item: list[bytes], inside: list[bytes]) -> int:
     return best
 
 
+class Statistics(NamedTuple):
+    """What BM25 knows of all test items, whichever of them an index holds."""
+
+    items: int
+    mean: float  # words of an item
+    longest: int
+    frequency: dict[bytes, int]  # items of each word of an index
+
+    @classmethod
+    def of(cls, found: list[list[bytes]]) -> Statistics:
+        """Statistics of the words of non-empty items."""
+        size = [len(w) for w in found]
+        return cls(len(found), sum(size) / max(1, len(found)), max(size, default=1), Counter(t for w in found for t in set(w)))
+
+
 class ItemIndex:
     """Inverted index of test items; impacts are shares of an item's own score."""
 
-    def __init__(self, items: list[tuple[int, str | None]]):
+    def __init__(self, items: list[tuple[int, str | None]], known: Statistics | None = None):
+        """``known``: statistics of all items, if these are some of them."""
         kept = [(i, w) for i, t in items if (w := words(t))]
         self.ids = [i for i, _ in kept]
         self.words = [w for _, w in kept]
-        self.longest = max(map(len, self.words), default=1)
-        mean = sum(map(len, self.words)) / max(1, len(kept))
-        df = Counter(t for w in self.words for t in set(w))
-        n = len(kept)
+        n, mean, self.longest, df = known or Statistics.of(self.words)
         lists: dict[bytes, list[tuple[int, float]]] = {}
         for k, w in enumerate(self.words):
             tf = Counter(w)
@@ -97,7 +111,7 @@ class ItemIndex:
         self.groups = np.zeros((len(self.most), GROUPS), np.float32)
         for t, p in enumerate(lists.values(), 1):
             for k, x in p:
-                g = k * GROUPS // n
+                g = k * GROUPS // len(kept)
                 self.groups[t, g] = max(self.groups[t, g], x)
         self.block_most = [[max(p[i : i + BLOCK]) for i in range(0, len(p), BLOCK)] for p in self.impacts]
         self.block_last = [[p[min(i + BLOCK, len(p)) - 1] for i in range(0, len(p), BLOCK)] for p in self.docs]
@@ -199,19 +213,42 @@ class ItemIndex:
 
 
 def indexes(items: DataFrame) -> list[ItemIndex]:
-    """Indexes over all items, of bounded size each."""
-    items = items.select("item_id", "text").filter("item_id is not null")
+    """Indexes over all items, of bounded size each.
+
+    Number, mean length and word frequencies are those of all items together,
+    so scores do not depend on how items are dealt to indexes.
+    """
+    spark, ddl = items.sparkSession, "turn int, size long, words array<binary>"
+    items = items.select("item_id", "text").filter("item_id is not null and text is not null")
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     turns = -(-chars // MAX_INDEX_CHARS) or 1
-    return [ItemIndex(sorted((r["item_id"], r["text"]) for r in items.filter(F.pmod(F.xxhash64("item_id"), F.lit(turns)) == k).filter("text is not null").collect())) for k in range(turns)]
+    turn = F.pmod(F.xxhash64("item_id"), F.lit(turns)).cast("int")
+    schema = shared.pa_schema(spark, ddl)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [words(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(w) for w in found], pa.int64()), pa.array([list(set(w)) for w in found], schema.field("words").type)], schema=schema)
+
+    of_item = items.select(turn.alias("turn"), "text").mapInArrow(run, ddl).filter("size > 0")
+    n, mean, longest = of_item.agg(F.count("*"), F.avg("size"), F.max("size")).first()
+    word = of_item.select("turn", F.explode("words").alias("word"))
+    frequency = word.groupBy("word").agg(F.count("*").alias("n"), F.collect_set("turn").alias("turns"))
+    out = []
+    for k in range(turns):
+        rows = items.filter(turn == k).collect()  # of bounded size, as are their words
+        df = {bytes(r["word"]): r["n"] for r in frequency.filter(F.array_contains("turns", k)).select("word", "n").collect()}
+        out.append(ItemIndex(sorted((r["item_id"], r["text"]) for r in rows), Statistics(n, mean or 0.0, longest or 1, df)))
+    return out
 
 
 def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, item_id, score, question_overlap, answer_overlap of each leak.
 
-    Every document is queried whole. A document row gives one row per leaked
-    item, so repeated rows give repeated rows. Null and empty texts and items
-    match nothing. Scores depend on the items of one index together.
+    Every document is queried whole, however long. A document row gives one
+    row per leaked item, so repeated rows give repeated rows; of passages with
+    one score the last one's overlaps are given. Null and empty texts and items
+    match nothing, empty tables give no rows. Other columns are left out.
     """
     ddl = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
     schema = shared.pa_schema(docs.sparkSession, ddl)
@@ -225,7 +262,7 @@ def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
                 columns = list(zip(*rows, strict=True)) or [[]] * len(schema)
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, schema, strict=True)], schema=schema)
 
-        part = docs.select("doc_id", "text").mapInArrow(run, ddl)
+        part = docs.select("doc_id", "text").mapInArrow(shared.tidied(run), ddl)
         out = part if out is None else out.unionByName(part)
     return out
 
