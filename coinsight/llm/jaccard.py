@@ -489,3 +489,21 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     groups = linked_components(docs)
     gone = groups.filter(F.col("component_id") != F.col("doc_id")).select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+#: The same over ``documents``: every pair that shares a shingle, then closure.
+SQL = r"""
+WITH RECURSIVE worded AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+  ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM worded),
+distinct_sets AS (SELECT list_sort(s) AS s, min(doc_id) AS node, len(s) AS n FROM sets WHERE len(s) > 0 GROUP BY ALL),
+tokens AS MATERIALIZED (SELECT node, n, hash(t) AS t FROM (SELECT node, n, unnest(s) AS t FROM distinct_sets)),
+shared AS MATERIALIZED (SELECT * FROM tokens WHERE t IN (SELECT t FROM tokens GROUP BY t HAVING count(*) > 1)),
+links AS MATERIALIZED (SELECT a.node AS u, b.node AS v FROM shared a JOIN shared b ON a.t = b.t AND a.node < b.node GROUP BY a.node, b.node, a.n, b.n
+  HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+steps AS (SELECT u, v FROM links UNION ALL SELECT v, u FROM links),
+reached(a, b) AS (SELECT DISTINCT u, u FROM steps UNION SELECT r.a, s.v FROM reached r JOIN steps s ON s.u = r.b),
+components AS (SELECT a AS node, min(b) AS component FROM reached GROUP BY a)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, CASE WHEN len(s.s) = 0 THEN s.doc_id ELSE coalesce(component, d.node) END AS component_id
+FROM sets s LEFT JOIN distinct_sets d ON list_sort(s.s) = d.s LEFT JOIN components c ON c.node = d.node
+"""

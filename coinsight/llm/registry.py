@@ -67,4 +67,4 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     """SQL for the text queries that it can express."""
-    return {"op1_url_verdicts": urls.SQL, "op6_merkle_fingerprints": merkle.SQL}
+    return {"op1_url_verdicts": urls.SQL, "op5_jaccard_components": jaccard.SQL, "op6_merkle_fingerprints": merkle.SQL}
