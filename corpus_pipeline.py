@@ -2,7 +2,11 @@
 benchmark items, no secrets, token ids.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor
-kept. All but the last return the columns of ``documents``.
+kept. All but the last return the columns of ``documents``; further columns are
+kept as they are, whatever their names. Rows of null or empty text, or of text
+without a letter, go in the first stage; the others keep them. Rows that repeat
+an id and text stay together, as copies of one document; rows of null id are
+kept. Texts of any length are taken whole, and empty tables give empty tables.
 """
 
 from __future__ import annotations
