@@ -66,7 +66,11 @@ def _has(phrase: str) -> Column:
 def scan(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
     """One row per document row: word and phrase counts, labels and score.
 
-    Null texts count as empty. ``score`` is the greatest share of a template's
+    Null and empty texts have no words; long texts are scanned whole. Repeated
+    rows are kept, an empty table gives no rows, other columns are left out,
+    whatever their names. Words with one inverse document frequency enter the
+    index in the order of the template; of places with equally many votes any
+    gives the same share. ``score`` is the greatest share of a template's
     index words found in place, for templates whose key phrase is present.
     Only documents with an index hit build arrays of positions.
     """

@@ -91,9 +91,12 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprints of texts and of their edited forms, and how alike they are.
 
-    A null text counts as empty. The edited text is the text with the last
-    floor(n / 2) code points replaced by the first as many of the next
-    document. One row per input row.
+    A null text counts as empty; empty texts have one empty section and are
+    alike. The edited text is the text with the last floor(n / 2) code points
+    replaced by the first as many of the next document. One row per input row,
+    repeated ones too; rows of one id follow a hash of their text, rows of one
+    id and text are equal in any order. Long texts are taken whole, an empty
+    table gives no rows, other columns are left out.
     """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = with_next(with_fingerprint(docs, "text", "fingerprint"), ["text", "fingerprint"])

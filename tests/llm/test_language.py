@@ -58,3 +58,31 @@ def test_corpus_accuracy_and_kept_columns(spark):
     kept = lang.known_language(docs)
     assert kept.columns == docs.columns and {500, 501}.isdisjoint(r.doc_id for r in kept.collect())
     assert lang.predict_corpus(docs.limit(0)).count() == 0
+
+
+def naive(field, text):
+    """Language and score by forward-backward written out, word by word."""
+    w = lang.words(text)
+    if not w:
+        return "und", 0.0
+    e = field.scores(w).astype(float)
+    n = len(field.languages)
+    f, b = [np.exp(field.start + e[0] - e[0].max())], [np.ones(n)]
+    for row in e[1:]:
+        x = np.array([sum(f[-1][i] * np.exp(field.transitions[i, j]) for i in range(n)) * np.exp(row[j] - row.max()) for j in range(n)])
+        f.append(x / x.sum())
+    for row in e[:0:-1]:
+        x = np.array([sum(np.exp(field.transitions[i, j] + row[j] - row.max()) * b[0][j] for j in range(n)) for i in range(n)])
+        b.insert(0, x / x.sum())
+    mean = np.mean([x * y / (x * y).sum() for x, y in zip(f, b, strict=True)], 0)
+    return field.languages[int(mean.argmax())], float(mean.max())
+
+
+def test_query_matches_forward_backward_written_out(spark):
+    field, rnd = trained(), random.Random(11)
+    texts = [" ".join(text(rnd, rnd.choice(sorted(STEMS)), rnd.randint(1, 40)) for _ in range(rnd.randint(1, 3))) for _ in range(60)] + [None, "", "123 ...", text(rnd, "aa", 6000)]
+    docs = spark.createDataFrame([(k, t, 1) for k, t in enumerate(texts)], "doc_id long, text string, lang_pred int")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in lang.predict(docs, field).collect()}
+    for k, t in enumerate(texts):
+        name, score = naive(field, t)
+        assert got[k][0] == name and abs(got[k][1] - score) < 1e-3

@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import public_tokenizers
@@ -33,3 +34,13 @@ def test_rows_are_kept(spark):
     ids = pieces.encode(docs, PATH).collect()
     assert len(ids) == 4 and set(docs.columns) < set(pieces.encode(docs, PATH).columns)
     assert pieces.digests(docs.limit(0), PATH).count() == 0
+
+
+def test_digests_equal_the_library(spark):
+    library, rnd = sentencepiece.SentencePieceProcessor(model_file=PATH), random.Random(8)
+    texts = ["".join(rnd.choice(PARTS) for _ in range(rnd.randint(0, 40))) for _ in range(300)] + [None, "", " ", "x" * 20_000, "one two " * 4000]
+    got = {r.doc_id: tuple(r)[1:] for r in pieces.digests(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), PATH).collect()}
+    for k, t in enumerate(texts):
+        ids = [*library.encode(t or ""), library.eos_id()]
+        want = (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(library.decode(ids).encode()).hexdigest())
+        assert got[k] == want, t

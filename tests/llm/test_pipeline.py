@@ -38,3 +38,18 @@ def test_every_stage_and_whole_run_match_brute_force(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs.limit(0), SF).columns == columns
         assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_stages_on_odd_rows(spark):
+    base = [r for r in shared.table(spark, SF, "documents").limit(60).collect()]
+    rows = [(r.doc_id, r.text, r.lang, r.source, r.n_chars, 5) for r in base] + [(base[0].doc_id, base[0].text, base[0].lang, base[0].source, base[0].n_chars, 5)]
+    long = " ".join(base[k % 60].text for k in range(200) if base[k % 60].lang == base[0].lang)
+    rows += [(None, base[1].text, None, None, None, 6), (9001, None, None, None, None, 7), (9002, "", "en", None, 0, 7), (9003, long, base[0].lang, "s", len(long), 8), (9004, " \n ", None, "s", 3, 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score long")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        assert set(docs.columns) <= set(out.columns)
+        ids = [r.doc_id for r in out.select("doc_id").collect()]
+        assert None in ids and (base[0].doc_id not in ids or ids.count(base[0].doc_id) == 2), name
+        assert ({9001, 9002, 9004} <= set(ids)) == (name != "language identification")
+        assert {r.score for r in out.filter("doc_id = 9003").collect()} <= {8}
