@@ -247,12 +247,13 @@ def index_entries(n: int, tokens: np.ndarray, rare: int) -> tuple[np.ndarray, in
 
 
 def _gather(settled: DataFrame) -> DataFrame:
-    """doc_id, n, key, and of each set that may have a partner its shared
+    """doc_id, n, key, whether the set may have a partner, and if so its shared
     tokens in the global order, the index entries and their lead.
 
+    Of equal sets of a batch only the one with the smallest id carries these.
     ``settled`` comes sorted by batch.
     """
-    ddl = "doc_id long, n long, key binary, tokens array<long>, entries array<long>, lead int"
+    ddl = "doc_id long, n long, key binary, linked boolean, tokens array<long>, entries array<long>, lead int"
     schema = pa_schema(settled.sparkSession, ddl)
 
     def documents(rows: list[tuple]) -> pa.RecordBatch:
@@ -282,9 +283,14 @@ def _gather(settled: DataFrame) -> DataFrame:
         shared = np.diff(start)
         tokens, entries, leads = [], [], np.zeros(size, np.int32)
         none = np.zeros(0, np.int64)
+        # A partner shares at least three quarters of the set.
+        linked = (n > 0) & (n - shared <= n // 4)
+        key = [keys[16 * k : 16 * k + 16] for k in range(size)]
+        first: dict[bytes, int] = {}
+        for d in np.argsort(ids, kind="stable"):
+            first.setdefault(key[d], d)
         for d in range(size):
-            # A partner shares at least three quarters of the set.
-            if n[d] and n[d] - shared[d] <= n[d] // 4:
+            if linked[d] and first[key[d]] == d:
                 own = token[start[d] : start[d + 1]]
                 e, leads[d] = index_entries(int(n[d]), own, int(rare[d]))
                 tokens.append(own.view(np.int64))
@@ -294,7 +300,7 @@ def _gather(settled: DataFrame) -> DataFrame:
                 entries.append(none)
         list_of = lambda x, t: pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(v) for v in x])], pa.int32()), pa.array(np.concatenate(x))).cast(t)
         return pa.RecordBatch.from_arrays(
-            [pa.array(ids), pa.array(n), pa.array([keys[16 * k : 16 * k + 16] for k in range(size)], pa.binary()), list_of(tokens, schema.field("tokens").type), list_of(entries, schema.field("entries").type), pa.array(leads)],
+            [pa.array(ids), pa.array(n), pa.array(key, pa.binary()), pa.array(linked), list_of(tokens, schema.field("tokens").type), list_of(entries, schema.field("entries").type), pa.array(leads)],
             schema=schema,
         )
 
@@ -454,16 +460,16 @@ def linked_components(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     sets = stored(shingle_sets(docs), "shingle-sets")
-    shared = sets.filter("size(tokens) > 0")
+    shared = sets.filter("linked")
     keys = stored(shared.groupBy("key").agg(F.min("doc_id").alias("node")), "set-nodes")
-    nodes = shared.join(keys.select("key", F.col("node").alias("doc_id")), ["key", "doc_id"], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "n", "tokens", "entries", "lead")
+    nodes = sets.filter("size(tokens) > 0").join(keys.select("key", F.col("node").alias("doc_id")), ["key", "doc_id"], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "n", "tokens", "entries", "lead")
     nodes = stored(nodes, "nodes")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     groups = _groups(nodes).repartition(parts, "pivot", "unit", "part").sortWithinPartitions("pivot", "unit", "part", "n", "doc_id")
     found = components(_links(groups))
     of_key = keys.join(found, "node", "left").select("key", F.coalesce("component", "node").alias("component_id"))
     linked = shared.select("doc_id", "n", "key").join(of_key, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    lone = sets.filter("size(tokens) = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    lone = sets.filter("not linked").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return linked.unionByName(lone).unionByName(_without_id(docs))
 
 
