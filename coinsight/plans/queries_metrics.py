@@ -271,7 +271,8 @@ register("PA-REC", _BEST)(lambda spark, d: pa.recommendations(_front(spark, d)))
 register("PA-FIT", _BEST)(lambda spark, d: _tidy(pa.fit(S(spark, d))[2]))
 register("PA-GET", f"SELECT * FROM ({_BEST}) WHERE strategy = 'max_savings'")(lambda spark, d: pa.recommend(pa.recommendations(_front(spark, d))))
 register("PA-ATIDX", f"SELECT * FROM {_SWEPT} WHERE t_id = 49")(lambda spark, d: pa.at_index(_tidy(mt.sweep(S(spark, d), mt.default_grid(spark))), 49))
-register("PA-REPORT")(lambda spark, d: pa.report(pa.recommendations(_front(spark, d))))
+_LINE = "printf('%s: threshold %.2f, precision %.3f, recall %.3f, net savings %.2f, flagged cases %d', strategy, t, precision, recall, net_savings, CAST(tp + fp AS BIGINT))"
+register("PA-REPORT", f"SELECT strategy, {_LINE} AS line FROM ({_BEST})")(lambda spark, d: pa.report(pa.recommendations(_front(spark, d))))
 
 
 # ---- drift
