@@ -4,10 +4,10 @@ Tokens are the words of the lower-cased text and one end. A count of every
 token over all training documents gives the smoothed unigram score, the
 model's vocabulary and the weights inside its output classes. The model is a
 gated recurrent unit with a class-factored softmax, trained in numpy by
-truncated backpropagation on all training documents: in each round every task
-trains a copy on its documents, and the copies are averaged by their tokens. Scoring
-runs windows of steps over whole documents and carries each document's state
-from window to window.
+truncated backpropagation on all training documents, a share of them in each
+round: every task trains a copy on its documents, and the copies are averaged by
+their tokens. Scoring runs windows of steps over whole documents and carries
+each document's state from window to window.
 
 Words outside the vocabulary fall into buckets by their last two characters.
 A bucket is a token of the model, and inside it words follow their smoothed
@@ -35,7 +35,8 @@ BUCKETS = 62
 CLASSES = 32
 HIDDEN = 12
 HEAD_WORDS = 1 << 17  # at most so many words' counts are known to every task; others are joined
-ROUNDS = 2  # passes over the training documents, copies averaged after each
+ROUNDS = 2  # shares of the training documents, copies averaged after each
+CACHE = 150_000  # words whose model token a task keeps
 TRAIN_TOKENS = 400_000  # held by a task at once in training
 WINDOW = 128
 CHUNK_TOKENS = 4_000_000
@@ -70,7 +71,7 @@ def count_tokens(docs: DataFrame) -> DataFrame:
                     yield flush()
         yield flush()
 
-    return docs.select("text").mapInArrow(run, "token string, c long").groupBy("token").agg(F.sum("c").alias("c"))
+    return docs.select("text").mapInArrow(shared.tidied(run), "token string, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
 
 class Network:
@@ -87,15 +88,15 @@ class Network:
         self.class_of[order] = np.arange(n) // self.width
         self.place_of[order] = np.arange(n) % self.width
         inner = np.full((CLASSES, self.width), -1e9, np.float32)
-        inner[self.class_of, self.place_of] = np.log(weight)
         total = np.bincount(self.class_of, weight, CLASSES)
+        inner[self.class_of, self.place_of] = np.log(weight / total[self.class_of])
         self.p = {
             "x": rnd.normal(0, 0.1, (n, 3 * h)),
             "u": rnd.normal(0, 0.2, (h, 2 * h)),
             "un": rnd.normal(0, 0.2, (h, h)),
             "b": np.r_[np.ones(h), np.zeros(2 * h)],
             "c": np.zeros((h, CLASSES)),
-            "cb": np.log(np.maximum(total, 1e-9)),
+            "cb": np.log(np.maximum(total / total.sum(), 1e-30)),
             "w": np.zeros((CLASSES, h, self.width)),
             "wb": inner,
         }
@@ -104,29 +105,46 @@ class Network:
     def step(self, h: np.ndarray, ids: np.ndarray):
         """The next state, and what backpropagation needs."""
         p, k = self.p, HIDDEN
-        x = p["x"][ids] + p["b"]
-        g = 1 / (1 + np.exp(-(x[:, : 2 * k] + h @ p["u"])))
+        x = p["x"][ids]
+        x += p["b"]
+        g = h @ p["u"]
+        g += x[:, : 2 * k]
+        np.negative(g, out=g)
+        np.exp(g, out=g)
+        g += 1
+        np.reciprocal(g, out=g)
         z, r = g[:, :k], g[:, k:]
-        n = np.tanh(x[:, 2 * k :] + (r * h) @ p["un"])
+        n = (r * h) @ p["un"]
+        n += x[:, 2 * k :]
+        np.tanh(n, out=n)
         return n + z * (h - n), (h, z, r, n)
 
     def log_probs(self, h: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """Natural log probability of each id after its state, class by class."""
         p, out = self.p, np.empty(len(ids), np.float32)
-        for at in range(0, len(ids), 1 << 15):
-            s, y = h[at : at + (1 << 15)], ids[at : at + (1 << 15)]
-            c, place = self.class_of[y], self.place_of[y]
-            logits = s @ p["c"] + p["cb"]
-            got = logits[np.arange(len(y)), c] - np.log(np.exp(logits).sum(1))
-            order = np.argsort(c, kind="stable")
-            edges = np.searchsorted(c[order], np.arange(CLASSES + 1))
-            for k in range(CLASSES):
-                if (rows := order[edges[k] : edges[k + 1]]).size:
-                    inner = s[rows] @ p["w"][k] + p["wb"][k]
-                    got[rows] += inner[np.arange(rows.size), place[rows]] - np.log(np.exp(inner).sum(1))
-            out[at : at + (1 << 15)] = got
+        for at in range(0, len(ids), 1 << 14):
+            y = ids[at : at + (1 << 14)]
+            order, edges = self._by_class(y)
+            s, place = h[at : at + (1 << 14)][order], self.place_of[y[order]]
+            logits = s @ p["c"]
+            logits += p["cb"]
+            got = logits[np.arange(len(y)), self.class_of[y[order]]]
+            got -= np.log(np.exp(logits, out=logits).sum(1))
+            for k, a, b in edges:
+                inner = s[a:b] @ p["w"][k]
+                inner += p["wb"][k]
+                got[a:b] += inner[np.arange(b - a), place[a:b]]
+                got[a:b] -= np.log(np.exp(inner, out=inner).sum(1))
+            out[at + order] = got
         return out
 
+    def _by_class(self, ids: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+        """An order by output class, and where each class that occurs stands."""
+        c = self.class_of[ids].astype(np.uint8)
+        order = np.argsort(c, kind="stable")
+        ends = np.cumsum(np.bincount(c, minlength=CLASSES)).tolist()
+        return order, [(k, a, b) for k, (a, b) in enumerate(zip([0, *ends], ends, strict=False)) if b > a]
+
     def _gradients(self, h: np.ndarray, inputs: np.ndarray, targets: np.ndarray):
         """Loss gradients of one window (steps x streams) and the last state."""
         p, k = self.p, HIDDEN
@@ -135,36 +153,48 @@ class Network:
             h, x = self.step(h, ids)
             states.append(h)
             kept.append(x)
-        s, y = np.concatenate(states), targets.reshape(-1)
-        c, place, rows = self.class_of[y], self.place_of[y], np.arange(len(y))
+        # Rows are taken class by class; ``turn`` brings them back.
+        y = targets.reshape(-1)
+        order, edges = self._by_class(y)
+        turn = np.empty_like(order)
+        turn[order] = np.arange(len(y))
+        s, place, c = np.concatenate(states)[order], self.place_of[y[order]], self.class_of[y[order]]
         g = {n: np.zeros_like(v) for n, v in p.items()}
-        d = s @ p["c"] + p["cb"]
-        d = np.exp(d - d.max(1, keepdims=True))
+        d = s @ p["c"]
+        d += p["cb"]
+        np.exp(d, out=d)
         d /= d.sum(1, keepdims=True)
-        d[rows, c] -= 1
+        d[np.arange(len(y)), c] -= 1
         g["c"], g["cb"], ds = s.T @ d, d.sum(0), d @ p["c"].T
-        for m in np.unique(c):
-            at = rows[c == m]
-            e = s[at] @ p["w"][m] + p["wb"][m]
-            e = np.exp(e - e.max(1, keepdims=True))
+        for m, a, b in edges:
+            e = s[a:b] @ p["w"][m]
+            e += p["wb"][m]
+            np.exp(e, out=e)
             e /= e.sum(1, keepdims=True)
-            e[np.arange(at.size), place[at]] -= 1
-            g["w"][m], g["wb"][m] = s[at].T @ e, e.sum(0)
-            ds[at] += e @ p["w"][m].T
-        ds = ds.reshape(len(inputs), -1, k)
+            e[np.arange(b - a), place[a:b]] -= 1
+            g["w"][m], g["wb"][m] = s[a:b].T @ e, e.sum(0)
+            ds[a:b] += e @ p["w"][m].T
+        ds = ds[turn].reshape(len(inputs), -1, k)
         back = np.zeros_like(h)
+        full = np.empty((*inputs.shape, 3 * k), np.float32)
         for t in range(len(inputs) - 1, -1, -1):
             h0, z, r, n = kept[t]
             back = back + ds[t]
-            dn = back * (1 - z) * (1 - n * n)
+            keep = 1 - z
+            dn, now = full[t, :, 2 * k :], full[t]
+            np.multiply(back * keep, 1 - n * n, out=dn)
             drh = dn @ p["un"].T
-            gates = np.concatenate([back * (h0 - n) * z * (1 - z), drh * h0 * r * (1 - r)], 1)
-            full = np.concatenate([gates, dn], 1)
-            np.add.at(g["x"], inputs[t], full)
-            g["b"] += full.sum(0)
-            g["u"] += h0.T @ gates
-            g["un"] += (r * h0).T @ dn
-            back = back * z + drh * r + gates @ p["u"].T
+            np.multiply(back * (h0 - n), z * keep, out=now[:, :k])
+            np.multiply(drh * h0, r * (1 - r), out=now[:, k : 2 * k])
+            back = back * z + drh * r + now[:, : 2 * k] @ p["u"].T
+        full = full.reshape(-1, 3 * k)
+        h0 = np.concatenate([x[0] for x in kept])
+        g["b"], g["u"] = full.sum(0), h0.T @ full[:, : 2 * k]
+        g["un"] = (np.concatenate([x[2] for x in kept]) * h0).T @ full[:, 2 * k :]
+        x = inputs.reshape(-1)
+        order = np.argsort(x.astype(np.uint16), kind="stable")
+        first = np.flatnonzero(np.r_[True, x[order][1:] != x[order][:-1]])
+        g["x"][x[order[first]]] = np.add.reduceat(full[order], first)
         return g, h
 
     def train(self, stream: np.ndarray, epochs: int = 2, streams: int = 64, steps: int = 24, rate: float = 0.01, state: dict | None = None) -> None:
@@ -235,10 +265,19 @@ class Scorer:
         self.rest = np.where(inside, np.log10(np.asarray(counts, float) + 1) - self.bucket_log[np.minimum(self.token[: len(words)], BUCKETS - 1)], 0.0)
         self.net = Network(np.array(weight))
 
-    def ids(self, words: list[bytes]) -> np.ndarray:
-        """Model tokens of a document, the end last."""
-        get, token = self.row.get, self.token
-        return np.array([*(int(token[i]) if (i := get(w)) is not None else bucket(w) for w in words), BUCKETS], np.int32)
+    def ids(self, words: list[bytes], known: dict[bytes, int] | None = None) -> np.ndarray:
+        """Model tokens of a document, the end last. ``known`` keeps them by word."""
+        known = {} if known is None else known
+
+        def learn(w: bytes) -> int:
+            if len(known) >= CACHE:
+                known.clear()
+            known[w] = found = (int(self.token[i]) if (i := self.row.get(w)) is not None else bucket(w)) + 1
+            return found
+
+        get = known.get
+        out = np.array([get(w) or learn(w) for w in words], np.int32) - 1
+        return np.append(out, np.int32(BUCKETS))
 
     def likelihoods(self, docs: list[np.ndarray]) -> np.ndarray:
         """Log10 probability of each document's model tokens."""
@@ -320,14 +359,15 @@ def _partials(docs: DataFrame, scorer: Scorer) -> DataFrame:
                     size = 0
         yield flush()
 
-    return docs.select("doc_id", "text").mapInArrow(run, PARTIAL)
+    return docs.select("doc_id", "text").mapInArrow(shared.tidied(run), PARTIAL)
 
 
 def train_everywhere(docs: DataFrame, scorer: Scorer, rounds: int = ROUNDS) -> int:
-    """Train the scorer's network on all ``docs``; the tokens of one round.
+    """Train the scorer's network on all ``docs``; the number of tokens.
 
-    Copies are stored as they come and added up in a few tasks, so the driver
-    receives a bounded number of them.
+    Each document serves in one round, equal texts in the same one. Copies are
+    stored as they come and added up in a few tasks, so the driver receives a
+    bounded number of them.
     """
     spark, names = docs.sparkSession, sorted(scorer.net.p)
     n_tokens = 0
@@ -335,10 +375,11 @@ def train_everywhere(docs: DataFrame, scorer: Scorer, rounds: int = ROUNDS) -> i
         sent = spark.sparkContext.broadcast(scorer)
 
         def train(batches: Iterator[pa.RecordBatch], sent=sent, rate=0.01 / (k + 1)) -> Iterator[pa.RecordBatch]:
-            s, state, held, size, total = copy.deepcopy(sent.value), {}, [], 0, 0
+            s, state, held, size, total, known = copy.copy(sent.value), {}, [], 0, 0, {}
+            s.net = copy.deepcopy(s.net)
             for batch in batches:
                 for text in batch.column(0).to_pylist():
-                    held.append(s.ids(tokens(text)))
+                    held.append(s.ids(tokens(text), known))
                     size += len(held[-1])
                     if size >= TRAIN_TOKENS:
                         s.net.train(np.concatenate(held).astype(np.int64), epochs=1, streams=256, rate=rate, state=state)
@@ -360,13 +401,15 @@ def train_everywhere(docs: DataFrame, scorer: Scorer, rounds: int = ROUNDS) -> i
             if n:
                 yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([flat.tolist()], pa.list_(pa.float64()))], names=["n", "p"])
 
-        copies = shared.stored(docs.select("text").mapInArrow(train, "n long, p array<double>"), "network-copies")
+        own = docs.filter(F.pmod(F.xxhash64("text"), F.lit(rounds)) == k).select("text")
+        copies = shared.stored(own.mapInArrow(shared.tidied(train), "n long, p array<double>"), "network-copies")
         parts = copies.coalesce(16).mapInArrow(add, "n long, p array<double>").toArrow()
         sent.unpersist()
-        n_tokens = sum(parts["n"].to_pylist())
-        if not n_tokens:
-            break
-        flat = sum(x.values.to_numpy() for x in parts["p"]) / n_tokens
+        now = sum(parts["n"].to_pylist())
+        n_tokens += now
+        if not now:
+            continue
+        flat = sum(x.values.to_numpy() for x in parts["p"]) / now
         for n in names:
             p = scorer.net.p[n]
             scorer.net.p[n], flat = flat[: p.size].reshape(p.shape).astype(np.float32), flat[p.size :]
@@ -401,9 +444,11 @@ def fit(docs: DataFrame) -> tuple[Scorer, DataFrame]:
 def score(docs: DataFrame, scorer: Scorer, counts: DataFrame) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score of each row.
 
-    Null texts count as empty and hold one end. Repeated rows are scored
-    alike. Words beyond the broadcast head get their counts from a join on the
-    word, added up per document.
+    Null texts count as empty and hold one end; long ones are scored whole.
+    Repeated rows are kept and scored alike. Words beyond the broadcast head get
+    their counts from a join on the word, added up per document. Other columns
+    are left out; an empty table gives no rows, and without training documents
+    every token has the same base probability.
     """
     part = shared.stored(_partials(docs, scorer), "partial-scores")
     tail = part.select("row", F.explode(F.arrays_zip("tail", "times")).alias("e")).select("row", F.col("e.tail").alias("token"), F.col("e.times").alias("times"))

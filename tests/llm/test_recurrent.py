@@ -74,6 +74,31 @@ def test_long_documents_and_windows():
     assert np.allclose(together, [s.likelihoods([d])[0] for d in docs], atol=1e-3)
 
 
+def test_score_matches_the_model_written_out(spark, monkeypatch):
+    monkeypatch.setattr(recurrent, "HEAD_WORDS", 60)
+    docs = [(i, " ".join(f"w{(i * k) % 97} x{k}" for k in range(1 + i % 30))) for i in range(200)] + [(900, None), (901, "never seen"), (902, "w1 " * 700)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    train = [t for d, t in docs if d % 3]
+    scorer, counts = recurrent.fit(frame.filter("doc_id % 3 <> 0"))
+    c = Counter(w for t in train for w in [*recurrent.tokens(t), recurrent.END])
+    assert {r.token.encode(): r.c for r in counts.collect()} == c
+    net, head = scorer.net, {w for w in scorer.row}
+    own = [w for w in scorer.row if w != recurrent.END][: recurrent.VOCABULARY - recurrent.BUCKETS - 1]
+    rest = [w for w in c if w not in own and w != recurrent.END]
+    for r in recurrent.score(frame, scorer, counts).collect():
+        total, h = 0.0, np.zeros((1, recurrent.HIDDEN), np.float32)
+        h, _ = net.step(h, np.array([recurrent.BUCKETS]))
+        for w in [*recurrent.tokens(dict(docs)[r.doc_id]), recurrent.END]:
+            token = np.array([int(scorer.ids([w])[0]) if w != recurrent.END else recurrent.BUCKETS])
+            total += float(net.log_probs(h, token)[0]) / math.log(10)
+            if w != recurrent.END and w not in own:
+                mates = [x for x in rest if recurrent.bucket(x) == recurrent.bucket(w)]
+                total += math.log10((c[w] + 1) / (sum(c[x] for x in mates) + len(mates) + 1))
+            h, _ = net.step(h, token)
+        assert abs(total - r.score) < 1e-3 * max(1, abs(total)), r
+    assert len(head) < len(c)
+
+
 def test_every_training_document_is_learned_from(spark):
     docs = spark.createDataFrame([(i, f"left{i % 40} right{i % 40} " * 20) for i in range(4000)], "doc_id long, text string").repartition(4, "doc_id")
     scorer, _ = recurrent.fit(docs)
