@@ -40,6 +40,8 @@ CACHE = 150_000  # words whose model token a task keeps
 TRAIN_TOKENS = 400_000  # held by a task at once in training
 WINDOW = 128
 CHUNK_TOKENS = 4_000_000
+STREAMS = 256  # sequences trained side by side
+_ONES = np.ones(1 << 14, np.float32)  # a product with it adds up faster than sum
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -129,12 +131,12 @@ class Network:
             logits = s @ p["c"]
             logits += p["cb"]
             got = logits[np.arange(len(y)), self.class_of[y[order]]]
-            got -= np.log(np.exp(logits, out=logits).sum(1))
+            got -= np.log(np.exp(logits, out=logits) @ _ONES[:CLASSES])
             for k, a, b in edges:
                 inner = s[a:b] @ p["w"][k]
                 inner += p["wb"][k]
                 got[a:b] += inner[np.arange(b - a), place[a:b]]
-                got[a:b] -= np.log(np.exp(inner, out=inner).sum(1))
+                got[a:b] -= np.log(np.exp(inner, out=inner) @ _ONES[: self.width])
             out[at + order] = got
         return out
 
@@ -163,14 +165,14 @@ class Network:
         d = s @ p["c"]
         d += p["cb"]
         np.exp(d, out=d)
-        d /= d.sum(1, keepdims=True)
+        d /= (d @ _ONES[:CLASSES])[:, None]
         d[np.arange(len(y)), c] -= 1
-        g["c"], g["cb"], ds = s.T @ d, d.sum(0), d @ p["c"].T
+        g["c"], g["cb"], ds = s.T @ d, _ONES[: len(d)] @ d if len(d) <= len(_ONES) else d.sum(0), d @ p["c"].T
         for m, a, b in edges:
             e = s[a:b] @ p["w"][m]
             e += p["wb"][m]
             np.exp(e, out=e)
-            e /= e.sum(1, keepdims=True)
+            e /= (e @ _ONES[: self.width])[:, None]
             e[np.arange(b - a), place[a:b]] -= 1
             g["w"][m], g["wb"][m] = s[a:b].T @ e, e.sum(0)
             ds[a:b] += e @ p["w"][m].T
@@ -326,7 +328,7 @@ def _partials(docs: DataFrame, scorer: Scorer) -> DataFrame:
         from pyspark import TaskContext
 
         s: Scorer = sent.value
-        at = TaskContext.get().partitionId() << 40
+        at, get = TaskContext.get().partitionId() << 40, s.row.get
         held: list[tuple] = []
         ids: list[np.ndarray] = []
         size = 0
@@ -342,14 +344,17 @@ def _partials(docs: DataFrame, scorer: Scorer) -> DataFrame:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = tokens(text)
                 words.append(END)
-                rows = np.array([s.row.get(w, -1) for w in words], np.int64)
+                rows = np.array([get(w, -1) for w in words], np.int64)
                 known = rows[rows >= 0]
-                tail = Counter([words[k] for k in np.flatnonzero(rows < 0)])
+                lost = np.flatnonzero(rows < 0)
+                unknown = [words[k] for k in lost.tolist()]
+                tail = Counter(unknown)
                 token = s.token[rows]
                 if tail:
-                    token[rows < 0] = [bucket(words[k]) if words[k] != END else BUCKETS for k in np.flatnonzero(rows < 0)]
-                beyond = token[rows < 0]
-                n = int((rows < 0).sum())
+                    of = {w: bucket(w) if w != END else BUCKETS for w in tail}
+                    token[lost] = [of[w] for w in unknown]
+                beyond = token[lost]
+                n = len(lost)
                 held.append((at, doc_id, len(words), len(known), float(s.base[known].sum() - n * s.flat_log), float(s.rest[known].sum() - s.bucket_log[beyond[beyond < BUCKETS]].sum()), [w.decode() for w in tail if w != END], [c for w, c in tail.items() if w != END]))
                 ids.append(token.astype(np.int32))
                 at += 1
@@ -382,12 +387,12 @@ def train_everywhere(docs: DataFrame, scorer: Scorer, rounds: int = ROUNDS) -> i
                     held.append(s.ids(tokens(text), known))
                     size += len(held[-1])
                     if size >= TRAIN_TOKENS:
-                        s.net.train(np.concatenate(held).astype(np.int64), epochs=1, streams=256, rate=rate, state=state)
+                        s.net.train(np.concatenate(held).astype(np.int64), epochs=1, streams=STREAMS, rate=rate, state=state)
                         total, size = total + size, 0
                         held.clear()
             if held:
                 # A short rest takes fewer streams, so that it has windows enough.
-                s.net.train(np.concatenate(held).astype(np.int64), epochs=1, streams=max(1, min(256, size // 1500)), rate=rate, state=state)
+                s.net.train(np.concatenate(held).astype(np.int64), epochs=1, streams=max(1, min(STREAMS, size // 1500)), rate=rate, state=state)
                 total += size
             if total:
                 flat = np.concatenate([s.net.p[n].ravel() for n in names]).astype(np.float64) * total
