@@ -27,8 +27,8 @@ FEATURE_BITS = 17
 SAMPLE_DOCS = 300  # labelled documents for each language
 UNKNOWN = "und"
 WORD = re.compile(r"[^\W\d_]+")
-CACHE = 300_000
-CHUNK_WORDS = 1_500_000
+CACHE = 150_000
+CHUNK_WORDS = 400_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -80,6 +80,10 @@ class Field:
     def __getstate__(self):
         return self.__dict__ | {"_row": {}, "_scores": self._scores[:0]}
 
+    def forget(self) -> None:
+        """Let go of the words met so far."""
+        self._row, self._scores = {}, self._scores[:0]
+
     def scores(self, batch: list[str]) -> np.ndarray:
         """Score per language of each word."""
         if not batch:
@@ -90,7 +94,7 @@ class Field:
     def rows(self, docs: list[list[str]]) -> list[np.ndarray]:
         """Rows of ``_scores`` for the words of documents; new words are added."""
         if len(self._row) > CACHE:
-            self._row, self._scores = {}, self._scores[:0]
+            self.forget()
         row, out, new = self._row, [], []
         for doc in docs:
             for w in doc:
@@ -201,7 +205,7 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Field:
     """A field learned from text and non-null lang of ``docs``.
 
     About ``sample_docs`` whole documents of each language are taken, chosen
-    by a hash of the id.
+    by a hash of the id, so the sample does not depend on the order of rows.
     """
     docs = docs.filter("lang is not null and text is not null")
     counts = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -212,7 +216,7 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Field:
     for lang, n in counts.items():
         share = int(min(1.0, sample_docs / n) * 10**12)
         chosen = chosen | ((F.col("lang") == lang) & (F.pmod(F.xxhash64("doc_id"), F.lit(10**12)) < share))
-    rows = docs.filter(chosen).select("text", "lang").limit(2 * sample_docs * len(counts)).collect()
+    rows = docs.filter(chosen).select("text", "lang").collect()
     of = {lang: k for k, lang in enumerate(field.languages)}
     field.train(sorted((words(r["text"]), of[r["lang"]]) for r in rows))
     return field
@@ -268,7 +272,7 @@ def predict(docs: DataFrame, field: Field, keep: list[str] | None = None, names:
             found, scores = work(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string()), pa.array(scores, pa.float64())], names=schema.names)
 
-    return kept.mapInArrow(run, ddl)
+    return kept.mapInArrow(shared.tidied(run, lambda: sent.value.forget()), ddl)
 
 
 def pa_schema_of(schema) -> pa.Schema:
@@ -279,7 +283,15 @@ def pa_schema_of(schema) -> pa.Schema:
 
 
 def predict_corpus(docs: DataFrame) -> DataFrame:
-    """Learn from documents whose remainder modulo 4 is not 2, predict all."""
+    """doc_id, held_out, lang_pred and score of each row of ``docs``.
+
+    Documents whose remainder modulo 4 is not 2 teach. Null ids count as an
+    empty id; null texts, and texts without a letter, are ``und`` with score 0;
+    long texts are read whole. Repeated rows are kept and predicted alike; of
+    languages with one mean the first in order of name is taken. Other columns
+    are left out. Without labels every text is ``und``; an empty table gives
+    no rows.
+    """
     field = fit(docs.filter(shared.remainder("doc_id", 4) != 2))
     found = predict(docs, field, ["doc_id", "text"])
     return found.select("doc_id", (shared.remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")

@@ -18,15 +18,20 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+from collections.abc import Iterator
 from functools import cache
 
 import ahocorasick
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from . import shared
 
 SPACE = "▁"
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 150_000  # of each cache; keys and ids take a few hundred bytes
 CACHE_CHARS = 32
 STRETCH = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 TAIL = re.compile(r".*\w([^\w▁]+)", re.DOTALL)
@@ -84,6 +89,10 @@ class PieceTable:
         self.shown.update((str(i), p.replace(SPACE, " ")) for i, p in self.text_of.items())
         self.shown.update((str(i), b.decode("ascii", "surrogateescape")) for b, i in ((bytes([b]), i) for b, i in self.byte_id.items()))
 
+    def forget(self) -> None:
+        """Let go of the stretches met so far."""
+        self._compatible.clear(), self._words.clear(), self._bare.clear()
+
     def _agenda(self, text: str) -> list[int]:
         """Merge by score, then leftmost; the parts of each merge are noted."""
         ids: list[int | None] = [self.id_of[c] for c in text]
@@ -239,21 +248,31 @@ def encode(docs: DataFrame, model_path: str, text: str = "text", ids: str = "tok
     Null and empty texts get the end id only. Rows are kept as they are,
     repeated ones too; a column named like ``ids`` is replaced.
     """
-    from pyspark.sql import functions as F
-    from pyspark.sql.types import ArrayType, IntegerType
 
-    @F.arrow_udf(ArrayType(IntegerType()))
-    def encoded(texts):
-        import pyarrow as pa
+    def work(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        table = piece_table(model_path)
+        for texts in batches:
+            found = [np.array(table.ids_text(t.as_py()).split(" "), np.int32) for t in texts]
+            ends = np.cumsum([0, *map(len, found)])
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found) if found else np.zeros(0, np.int32)))
 
-        work = piece_table(model_path)
-        return pa.array([work.encode(t) for t in texts.to_pylist()], pa.list_(pa.int32()))
+    run = shared.tidied(work, lambda: piece_table(model_path).forget())
+
+    @F.arrow_udf(ArrayType(IntegerType()))
+    def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return run(batches)
 
     return docs.withColumn(ids, encoded(F.col(text)))
 
 
 def digests(docs: DataFrame, model_path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each document."""
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each document.
+
+    Null and empty texts have the end id only and decode to an empty text; long
+    texts are encoded whole. Repeated rows are kept, other columns left out; an
+    empty table gives no rows. Encoding knows no ties: of merges with one score
+    the leftmost comes first.
+    """
 
     def make():
         work = piece_table(model_path)

@@ -7,6 +7,7 @@ import contextlib
 import ctypes
 import gc
 import os
+import re
 import tempfile
 import uuid
 import zlib
@@ -27,16 +28,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session has none (tests, local runs) a folder of this
-    machine is set.
+    A folder of this machine is set only where Spark runs in one process, as
+    in tests; on a cluster a missing setting is an error.
     """
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    found = context.getConf().get("spark.checkpoint.dir", None)
     if found is None:
-        context = spark.sparkContext._jsc.sc()
-        if context.getCheckpointDir().isDefined():
-            return context.getCheckpointDir().get()
+        if context._jsc.sc().getCheckpointDir().isDefined():
+            return context._jsc.sc().getCheckpointDir().get()
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("spark.checkpoint.dir is not set; it names the folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="coinsight-")
-        spark.sparkContext.setCheckpointDir(found)
+        context.setCheckpointDir(found)
     return found
 
 
