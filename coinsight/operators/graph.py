@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..plans.storage import checkpointed
 
-DENSE_NODES = 4000  # spectra of graphs up to this size are taken on the driver
+DENSE_NODES = 4000  # spectra of graphs up to this size, or of matrices from half as many hubs, are taken on the driver
 HELD_NODES, HELD_EDGES = 200_000, 2_000_000  # larger graphs are iterated on tables
 SENT_EDGES = 3_000_000  # of 16 bytes; more are shuffled
 ROUNDS = 60  # rounds of subspace iteration before it counts as failed
@@ -237,14 +237,52 @@ def _filtered(block: _Spread | _Held, k: int) -> tuple[np.ndarray, DataFrame]:
     raise RuntimeError(f"no spectrum after {ROUNDS} rounds, greatest residual {left.max():.1e}")
 
 
+def _covered(off: DataFrame, k: int) -> tuple[np.ndarray, DataFrame] | None:
+    """The spectrum by way of hubs that every edge touches; None if they are many.
+
+    A node that comes before all its neighbours in the order of their number
+    and name is a leaf, the others are hubs, so no edge joins two leaves. Let A
+    be the part of (identity less Laplacian) among hubs and B that from hubs to
+    leaves. Its values other than 0 are those of [[A, C], [C, 0]] with C the
+    root of BB', and a vector is y at the hubs and B'y / value at the leaves.
+    Spark adds up BB'. None also if fewer than k values lie above 0.
+    """
+    spark = off.sparkSession
+    n = off.groupBy("src").agg(F.count("*").alias("n"))
+    least = off.join(n.select(F.col("src").alias("dst"), "n"), "dst").groupBy("src").agg(F.count("*").alias("own"), F.min(F.struct("n", F.col("dst").alias("node"))).alias("least"))
+    hubs = sorted(r["src"] for r in least.filter(F.struct(F.col("own").alias("n"), F.col("src").alias("node")) >= F.col("least")).select("src").limit(DENSE_NODES // 2 + 1).collect())
+    h = len(hubs)
+    if h > DENSE_NODES // 2:
+        return None
+    at = spark.createDataFrame(list(enumerate(hubs)), "i int, node string")
+    into = off.join(F.broadcast(at.withColumnRenamed("node", "dst")), "dst").select("src", "i", (-F.col("v")).alias("b"))
+    among = into.join(F.broadcast(at.select(F.col("i").alias("j"), F.col("node").alias("src"))), "src").select("i", "j", "b")
+    out = checkpointed(into.join(F.broadcast(at.select(F.col("node").alias("src"))), "src", "left_anti"))
+    ends = out.groupBy("src").agg(F.collect_list(F.struct("i", "b")).alias("e")).select("e", F.explode("e").alias("f"))
+    squares = ends.select("f", F.explode("e").alias("g")).filter("f.i <= g.i").groupBy(F.col("f.i").alias("i"), F.col("g.i").alias("j")).agg(F.sum(F.col("f.b") * F.col("g.b")).alias("b"))
+    a, bb = np.zeros((h, h)), np.zeros((h, h))
+    for matrix, part in ((a, among), (bb, squares)):
+        rows = part.toArrow()
+        np.add.at(matrix, (rows["i"].to_numpy(), rows["j"].to_numpy()), rows["b"].to_numpy())
+    size, basis = np.linalg.eigh(bb + np.triu(bb, 1).T)
+    c = (basis * np.sqrt(np.maximum(size, 0))) @ basis.T
+    values, y = np.linalg.eigh(np.block([[a, c], [c, np.zeros((h, h))]]))
+    values, y = values[::-1][:k], y[:h, ::-1][:, :k]
+    if len(values) < k or values[-1] < RESIDUAL:
+        return None
+    own = spark.createDataFrame([(i, x, y[i].tolist(), (y[i] / values).tolist()) for i, x in enumerate(hubs)], "i int, node string, vector array<double>, share array<double>")
+    leaves = out.join(F.broadcast(own.select("i", "share")), "i").groupBy(F.col("src").alias("node")).agg(*[F.sum(F.col("b") * F.get("share", F.lit(j))).alias(f"x{j}") for j in range(k)])
+    return 1 - values, checkpointed(own.select("node", "vector").unionByName(leaves.select("node", F.array(*[f"x{j}" for j in range(k)]).alias("vector"))))
+
+
 def spectrum(graph: DataFrame, k: int = 10) -> tuple[np.ndarray, DataFrame]:
     """Smallest eigenvalues of the Laplacian, and node with its vector.
 
-    Small graphs are solved on the driver, under a checked number of nodes;
-    larger ones by subspace iteration, on the driver up to a bound of nodes and
-    edges, beyond it on tables, where the driver holds matrices of 2k x 2k
-    only. Values rise, vectors stand in the order of their values, and
-    iteration that does not converge raises.
+    Small graphs are solved on the driver, under a checked number of nodes, and
+    larger ones too if few hubs touch all edges; others by subspace iteration,
+    on the driver up to a bound of nodes and edges, beyond it on tables, where
+    the driver holds matrices of 2k x 2k only. Values rise, vectors stand in the
+    order of their values, and iteration that does not converge raises.
     """
     spark = graph.sparkSession
     names = degrees(graph).select("node")
@@ -262,6 +300,9 @@ def spectrum(graph: DataFrame, k: int = 10) -> tuple[np.ndarray, DataFrame]:
         values, vectors = np.linalg.eigh(matrix)
         return values[:k], spark.createDataFrame([(x, vectors[i, :k].tolist()) for x, i in at.items()], "node string, vector array<double>")
     off = checkpointed(off)
+    found = _covered(off, k)
+    if found is not None:
+        return found
     held = n <= HELD_NODES and off.count() <= HELD_EDGES
     return _filtered((_Held if held else _Spread)(off, names, min(2 * k, n)), k)
 
