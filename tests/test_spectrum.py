@@ -69,7 +69,7 @@ def test_few_hubs_give_the_spectrum(spark, monkeypatch):
     assert np.allclose(x.T @ x, np.eye(10), atol=1e-9)
 
 
-@pytest.mark.parametrize("name", ["GR-EIG", "GR-BAND", "GR-HET"])
+@pytest.mark.parametrize("name", ["GR-EIG", "GR-BAND", "GR-HET", "GR-SUM"])
 def test_spectral_queries_need_no_iteration(spark, monkeypatch, name):
     monkeypatch.setattr(graph, "DENSE_NODES", 60)
     monkeypatch.setattr(graph, "ROUNDS", 0)
