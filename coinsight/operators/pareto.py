@@ -22,14 +22,21 @@ def frontier(swept: DataFrame) -> DataFrame:
     """The rows of a sweep that no other row dominates; equal rows all stay.
 
     A sweep has a few hundred rows at any size of data, so all are compared.
+    They are gathered, so the sweep is computed once: sums of doubles may differ
+    in their last digits when they are added anew, and a row must not lose
+    against another sum of itself.
     """
-    rows = swept.withColumns({f"__{o}": F.round(finite(F.col(o).cast("double")), 9) for o in OBJECTIVES})
-    other = F.broadcast(rows.select(*[F.col(f"__{o}").alias(f"o_{o}") for o in OBJECTIVES]))
-    as_good = better = None
-    for o in OBJECTIVES:
-        ge, gt = F.col(f"o_{o}") >= F.col(f"__{o}"), F.col(f"o_{o}") > F.col(f"__{o}")
-        as_good, better = (ge, gt) if as_good is None else (as_good & ge, better | gt)
-    return rows.join(other, as_good & better, "left_anti").select(*swept.columns)
+    rows = swept.select(F.struct(*swept.columns).alias("row"), F.struct(*[F.round(finite(F.col(o).cast("double")), 9).alias(o) for o in OBJECTIVES]).alias("key"))
+    every = rows.agg(F.collect_list(F.struct("row", "key")).alias("all")).select("all", F.explode("all").alias("one"))
+
+    def dominates(other: Column) -> Column:
+        as_good = better = None
+        for o in OBJECTIVES:
+            a, b = other["key"][o], F.col(f"one.key.{o}")
+            as_good, better = (a >= b, a > b) if as_good is None else (as_good & (a >= b), better | (a > b))
+        return as_good & better
+
+    return every.filter(~F.exists("all", dominates)).select("one.row.*")
 
 
 def recommendations(front: DataFrame) -> DataFrame:

@@ -128,6 +128,14 @@ def test_boosting_lowers_the_loss(spark):
         losses.loss_of("nothing")
 
 
+def test_frontier_compares_one_computation_of_the_sweep(spark):
+    anew = F.udf(lambda v: v + random.random() * 1e-3, "double").asNondeterministic()  # as sums in another order
+    rows = [(i, i / 40, float(i), 0.0, 0.0, float(-i), 0.0) for i in range(40)]
+    swept = spark.createDataFrame(rows, "t_id int, t double, precision double, recall double, vdr double, net_savings double, roi double")
+    swept = swept.withColumn("net_savings", anew("net_savings"))
+    assert sorted(r.t_id for r in pareto.frontier(swept).collect()) == list(range(40))
+
+
 def test_frontier_is_not_dominated(spark, ten):
     _, front, best = pareto.fit(ten)
     rows = front.collect()
