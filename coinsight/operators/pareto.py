@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,9 +55,9 @@ def recommendations(front: DataFrame) -> DataFrame:
     return front.agg(F.array(*best).alias("b")).select(F.explode("b").alias("b")).filter("b is not null and b.t is not null").select("b.*")
 
 
-def fit(df: DataFrame, cost: float = 100.0, thresholds: DataFrame | None = None, **more) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Sweep, frontier and recommendations."""
-    swept = metrics.sweep(df, metrics.default_grid(df.sparkSession) if thresholds is None else thresholds, cost, **more)
+def fit(df: DataFrame, cost: float = 100.0, thresholds: DataFrame | None = None, tidy: Callable[[DataFrame], DataFrame] = lambda swept: swept, **more) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sweep, frontier and recommendations; ``tidy`` may round the sweep, before rows are compared."""
+    swept = tidy(metrics.sweep(df, metrics.default_grid(df.sparkSession) if thresholds is None else thresholds, cost, **more))
     front = frontier(swept)
     return swept, front, recommendations(front)
 

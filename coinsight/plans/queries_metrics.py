@@ -268,7 +268,7 @@ def _front(spark, d):
 register("PA-FRONT", f"SELECT * FROM {_FRONT}")(_front)
 register("PA-POINTS", f"SELECT t, precision, recall, f1, vdr, net_savings, roi, tp, fp FROM {_FRONT}")(lambda spark, d: _front(spark, d).select("t", "precision", "recall", "f1", "vdr", "net_savings", "roi", "tp", "fp"))
 register("PA-REC", _BEST)(lambda spark, d: pa.recommendations(_front(spark, d)))
-register("PA-FIT", _BEST)(lambda spark, d: _tidy(pa.fit(S(spark, d))[2]))
+register("PA-FIT", _BEST)(lambda spark, d: pa.fit(S(spark, d), tidy=_tidy)[2])
 register("PA-GET", f"SELECT * FROM ({_BEST}) WHERE strategy = 'max_savings'")(lambda spark, d: pa.recommend(pa.recommendations(_front(spark, d))))
 register("PA-ATIDX", f"SELECT * FROM {_SWEPT} WHERE t_id = 49")(lambda spark, d: pa.at_index(_tidy(mt.sweep(S(spark, d), mt.default_grid(spark))), 49))
 _LINE = "printf('%s: threshold %.2f, precision %.3f, recall %.3f, net savings %.2f, flagged cases %d', strategy, t, precision, recall, net_savings, CAST(tp + fp AS BIGINT))"

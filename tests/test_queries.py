@@ -22,6 +22,14 @@ def test_query_equals_sql(spark, duck, name):
     assert compare(spark, duck, SF, catalog.queries()[name], catalog.oracle_sql()[name]) is None
 
 
+@pytest.mark.parametrize("name", ["PA-FRONT", "PA-POINTS", "PA-REC", "PA-FIT", "PA-REPORT"])
+def test_ties_of_rounded_metrics_go_as_in_sql(spark, tmp_path, name):
+    # Savings differ by 0.00001, the SQL compares four digits.
+    rows = "(VALUES ('R', 50e0, 0.1e0, 0.08e0, 1000e0), ('R', 25e0, 0e0, 0e0, -0.00001e0), ('N', 0e0, 0e0, 0e0, 5e0)) v(l_returnflag, l_quantity, l_discount, l_tax, l_extendedprice)"
+    connect(tmp_path).execute(f"COPY (SELECT *, 'F' AS l_linestatus FROM {rows}) TO '{tmp_path}/lineitem.parquet'")
+    assert compare(spark, connect(tmp_path), str(tmp_path), catalog.queries()[name], catalog.oracle_sql()[name]) is None
+
+
 def test_every_oracle_has_a_query():
     import __spark_entry__ as entry
 
