@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from itertools import combinations
+from collections.abc import Callable
+from contextlib import ExitStack
+from itertools import combinations, count
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.storage import checkpointed
+from ..plans.storage import Rewritten, checkpointed, released
 
 DENSE_NODES = 4000  # spectra of graphs up to this size, or of matrices from half as many hubs, are taken on the driver
 HELD_NODES, HELD_EDGES = 200_000, 2_000_000  # larger graphs are iterated on tables
-SENT_EDGES = 3_000_000  # of 16 bytes; more are shuffled
+SENT_NODES = 3_000_000  # of 16 bytes; more are shuffled
+SENT_EDGES = 6_000_000  # of 8 bytes; more are sent in turns
 ROUNDS = 60  # rounds of subspace iteration before it counts as failed
 DEGREE = 8  # of the polynomial between two rounds
 RESIDUAL = 1e-6  # length of Lx - vx at which a vector x with value v is found
@@ -41,6 +44,12 @@ def edges(df: DataFrame, entities: list[str], weight: str | None = None) -> Data
     return one.unionByName(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
 
 
+def links(df: DataFrame, entities: list[str]) -> DataFrame:
+    """src and dst in one direction, repeated pairs repeated."""
+    pairs = F.array(*[F.struct(node(a).alias("src"), node(b).alias("dst")) for a, b in combinations(entities, 2)])
+    return df.select(F.explode(pairs).alias("e")).select("e.src", "e.dst").filter("src is not null and dst is not null")
+
+
 def degrees(graph: DataFrame) -> DataFrame:
     """node, weighted degree and number of neighbours."""
     return graph.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("degree"), F.count("*").alias("neighbours"))
@@ -83,27 +92,62 @@ def _numbered(d: DataFrame) -> DataFrame:
     return kept.withColumn("part", part).join(offset, "part").select("node", "k", (F.shiftleft(F.least("k", F.lit(1 << 22)).cast("long"), 40) + place).alias("id"))
 
 
+def _code(column: str, seed: int) -> Column:
+    return F.xxhash64(column, F.lit(seed))
+
+
 def clustering(graph: DataFrame) -> DataFrame:
     """node and clustering coefficient, 0 with fewer than two neighbours.
 
-    Nodes are numbered in the order of their degrees, and edges turned
-    from the smaller to the larger, which bounds the wedges of a node by the
-    square root of the edges. Each wedge is made once, its ends in order, and
-    meets the edges in a hash join, up to SENT_EDGES of them where it is made;
-    only closed ones go on.
+    Directions and repeated pairs do not matter. Nodes travel as hashes, drawn
+    anew until no two share one. They are numbered in the order of their
+    degrees, and edges turned from the smaller to the larger, which bounds a
+    node's list of larger neighbours by the square root of the edges. An edge's
+    triangles are what the lists of its ends have in common. The lists are sent
+    to where edges point to them, up to SENT_EDGES numbers in one turn, so
+    wedges are neither made nor shuffled.
     """
-    plain = graph.filter("src < dst").select("src", "dst").unionByName(graph.filter("src > dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    d = plain.select(F.explode(F.array("src", "dst")).alias("node")).groupBy("node").agg(F.count("*").alias("k"))
-    number = _numbered(d)
+    with ExitStack() as done:
+
+        def kept(df: DataFrame) -> Rewritten:
+            table = Rewritten(df)
+            done.callback(table.close)
+            released(df.sparkSession)
+            return table
+
+        return checkpointed(_clustering(graph, kept))
+
+
+def _clustering(graph: DataFrame, kept: Callable[[DataFrame], Rewritten]) -> DataFrame:
+    """The coefficients; ``kept`` writes a table that stands until they are taken."""
+    spark = graph.sparkSession
+    graph = graph.filter("src <> dst").select("src", "dst")
+    names = checkpointed(graph.select(F.explode(F.array("src", "dst")).alias("node")).distinct())
+    n = names.count()
+    seed = next(s for s in count() if names.select(_code("node", s)).distinct().count() == n)
+    released(spark)
+    ends = graph.select(F.array(_code("src", seed), _code("dst", seed)).alias("e"))
+    # Rows of one x meet in few tasks, so most of the counting needs no shuffle.
+    apart = ends.select(F.array_min("e").alias("x"), F.array_max("e").alias("y")).withColumn("s", F.pmod("y", F.lit(8))).repartition("x", "s").distinct()
+    plain = kept(apart.select("x", "y"))
+    number = _numbered(plain.df.select(F.explode(F.array("x", "y")).alias("node")).groupBy("node").agg(F.count("*").alias("k")))
     ids = number.select("node", "id")
-    a, b = ids.select(F.col("node").alias("src"), F.col("id").alias("x")), ids.select(F.col("node").alias("dst"), F.col("id").alias("y"))
-    up = checkpointed(plain.join(a, "src").join(b, "dst").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
-    wedges = up.join(up.select("a", F.col("b").alias("c")), "a").filter("b < c")
-    closing = up.select(F.col("a").alias("b"), F.col("b").alias("c"))
-    closing = F.broadcast(closing) if up.count() <= SENT_EDGES else closing.hint("shuffle_hash")
-    corners = wedges.join(closing, ["b", "c"])
-    credited = corners.select(F.explode(F.array("a", "b", "c")).alias("id")).groupBy("id").agg(F.count("*").alias("t"))
-    both = number.join(credited, "id", "left")
+    ids = F.broadcast(ids) if n <= SENT_NODES else ids
+    turned = plain.df.join(ids.select(F.col("node").alias("x"), F.col("id").alias("a")), "x").join(ids.select(F.col("node").alias("y"), F.col("id").alias("b")), "y")
+    lists = kept(turned.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).groupBy("a").agg(F.collect_list("b").alias("above")))
+    plain.close()
+    turns = max(1, -(-lists.df.agg(F.sum(F.size("above"))).first()[0] // SENT_EDGES)) if n else 0
+    parts = []
+    for turn in range(turns):
+        mine = lambda c: F.pmod(F.xxhash64(c), F.lit(turns)) == turn  # noqa: B023, E731
+        sent = F.broadcast(lists.df.filter(mine("a")).select(F.col("a").alias("b"), F.col("above").alias("further")))
+        met = lists.df.select("a", "above", F.explode(F.filter("above", mine)).alias("b")).join(sent, "b").select("a", "b", F.array_intersect("above", "further").alias("c")).filter(F.size("c") > 0)
+        one = met.select(F.explode(F.concat(F.transform("c", lambda c: F.struct(c.alias("id"), F.lit(1).alias("t"))), F.array(*[F.struct(F.col(e).alias("id"), F.size("c").alias("t")) for e in "ab"]))).alias("o"))
+        parts.append(kept(one.groupBy("o.id").agg(F.sum("o.t").alias("t"))))
+    credited = spark.createDataFrame([], "id long, t long")
+    for part in parts:
+        credited = credited.unionByName(part.df)
+    both = number.join(credited.groupBy("id").agg(F.sum("t").alias("t")), "id", "left").withColumnRenamed("node", "code").join(names.withColumn("code", _code("node", seed)), "code")
     return both.select("node", F.when(F.col("k") >= 2, 2.0 * F.coalesce("t", F.lit(0)) / (F.col("k") * (F.col("k") - 1))).otherwise(0.0).alias("clustering"))
 
 

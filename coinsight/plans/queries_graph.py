@@ -66,7 +66,7 @@ def gr_deg(spark, d):
   t AS (SELECT node, count(*) AS t FROM (SELECT a AS node FROM tri UNION ALL SELECT b FROM tri UNION ALL SELECT c FROM tri) GROUP BY 1)
   SELECT k.node, round(CASE WHEN k >= 2 THEN 2e0 * coalesce(t, 0) / (k * (k - 1)) ELSE 0 END, 6) AS clustering FROM k LEFT JOIN t ON k.node = t.node""")
 def gr_cc(spark, d):
-    return rounded(gr.clustering(gr.edges(_txn(spark, d), ENTITIES)))
+    return rounded(gr.clustering(gr.links(_txn(spark, d), ENTITIES)))
 
 
 @register("GR-PR", f"""WITH RECURSIVE e AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS s FROM {_EDGES()}), n AS (SELECT DISTINCT src AS node FROM e), m AS (SELECT count(*) AS m FROM n),

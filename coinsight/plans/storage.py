@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -30,6 +31,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def released(spark) -> None:
+    """Ask for the removal of what finished jobs have shuffled and broadcast.
+
+    Spark removes it when the driver collects its garbage.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 class Rewritten:
     """A table in the shared folder that a loop writes anew now and then.
 

@@ -1,9 +1,12 @@
 """A cross-section of the registered queries against DuckDB."""
 
 import os
+import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from coinsight.operators import graph
 from coinsight.plans import catalog
 
 from .oracles import compare, connect
@@ -38,3 +41,40 @@ def test_every_oracle_has_a_query():
 
 def test_stream_of_reports(spark):
     assert catalog.queries()["STREAM-DRIFT"](spark, SF).count() >= 1
+
+
+def _shuffled(spark) -> int:
+    """Bytes that all stages so far wrote for shuffles."""
+    context = spark.sparkContext._jsc.sc()
+    context.listenerBus().waitUntilEmpty(30_000)
+    gateway = spark.sparkContext._gateway
+    stages = context.statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_clustering_shuffles_no_wedges(spark, monkeypatch):
+    # 300 nodes, all linked: 44,850 edges, 4.5 million wedges; the lists are sent in three turns.
+    ring = spark.range(300).select(F.col("id").cast("string").alias("src"))
+    whole = ring.crossJoin(ring.withColumnRenamed("src", "dst")).filter("src <> dst").withColumn("w", F.lit(1.0))
+    monkeypatch.setattr(graph, "SENT_EDGES", 15_000)
+    before = _shuffled(spark)
+    found = graph.clustering(whole).collect()
+    assert len(found) == 300 and all(r.clustering == 1.0 for r in found)
+    assert _shuffled(spark) - before < 5_000_000
+
+
+@pytest.mark.parametrize("most", [50, 6_000_000])
+def test_clustering_equals_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(graph, "SENT_EDGES", most)
+    monkeypatch.setattr(graph, "SENT_NODES", most)
+    rnd = random.Random(3)
+    pairs = [(f"n{rnd.randrange(40)}", f"n{rnd.randrange(40)}") for _ in range(250)] + [("a", "b"), ("b", "a"), ("c", "c")]
+    near = {}
+    for a, b in pairs:
+        if a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    want = {x: sum(b in near[a] for a in k for b in k) / (len(k) * (len(k) - 1)) if len(k) > 1 else 0.0 for x, k in near.items()}
+    found = {r.node: r.clustering for r in graph.clustering(spark.createDataFrame(pairs, "src string, dst string")).collect()}
+    assert found == pytest.approx(want)
+    assert graph.clustering(spark.createDataFrame([], "src string, dst string")).count() == 0
