@@ -126,7 +126,14 @@ def _clustering(graph: DataFrame, kept: Callable[[DataFrame], Rewritten]) -> Dat
     n = names.count()
     seed = next(s for s in count() if names.select(_code("node", s)).distinct().count() == n)
     released(spark)
-    ends = graph.select(F.array(_code("src", seed), _code("dst", seed)).alias("e"))
+    names = names.withColumn("code", _code("node", seed))
+    ends = graph.select(_code("src", seed).alias("src"), _code("dst", seed).alias("dst"))
+    if n <= SENT_NODES:  # places, which are small numbers, take half of the disk
+        place = _numbered(names.select(F.col("code").alias("node"), F.lit(0).alias("k"))).select("id", F.col("node").alias("code"))
+        names = names.join(place, "code").select("node", F.col("id").alias("code"))
+        for end in ("src", "dst"):
+            ends = ends.join(F.broadcast(place), ends[end] == place["code"]).withColumn(end, F.col("id")).drop("id", "code")
+    ends = ends.select(F.array("src", "dst").alias("e"))
     # Rows of one x meet in few tasks, so most of the counting needs no shuffle.
     apart = ends.select(F.array_min("e").alias("x"), F.array_max("e").alias("y")).withColumn("s", F.pmod("y", F.lit(8))).repartition("x", "s").distinct()
     plain = kept(apart.select("x", "y"))
@@ -147,7 +154,7 @@ def _clustering(graph: DataFrame, kept: Callable[[DataFrame], Rewritten]) -> Dat
     credited = spark.createDataFrame([], "id long, t long")
     for part in parts:
         credited = credited.unionByName(part.df)
-    both = number.join(credited.groupBy("id").agg(F.sum("t").alias("t")), "id", "left").withColumnRenamed("node", "code").join(names.withColumn("code", _code("node", seed)), "code")
+    both = number.join(credited.groupBy("id").agg(F.sum("t").alias("t")), "id", "left").withColumnRenamed("node", "code").join(names, "code")
     return both.select("node", F.when(F.col("k") >= 2, 2.0 * F.coalesce("t", F.lit(0)) / (F.col("k") * (F.col("k") - 1))).otherwise(0.0).alias("clustering"))
 
 
