@@ -37,29 +37,46 @@ LANDMARKS = 96
 LEAST_Z = 4.5  # standard errors by which a landmark's share must differ
 SAMPLE_TOXIC, SAMPLE_CLEAN = 1000, 2000  # labelled training documents
 THRESHOLD = 0.3
-CACHE = 200_000
+CACHE = 400_000
+TURN = 1000  # words whose kernel values are taken at once; arrays of more leave the processor's cache
 FIRST, LAST = 230, 231  # codes of a word's borders
 TRIPLES = 32749  # a prime; three codes are hashed below it
+FACTORS = (20011, 307, 17)
+TERMS = np.array([np.r_[3 * TRIPLES, np.arange(1, 256) * f % TRIPLES] for f in FACTORS], np.int32)  # by code, what it adds to a hash; 0 lifts the sum beyond all
 MAX_SENTENCE = 64  # words; longer sentences are taken in parts
 MAX_WORD = 64  # longer words are taken in overlapping parts of this length
 SENTENCE = re.compile(r"[.!?]+\s+|\n+|\s*\|\s*")
+PLAIN = re.compile(r"[.!?\n](?:(?<=\n)\n*|(?<=[.!?])[.!?]*\s+)")  # the same in texts without a bar, faster
 SPELLED = re.compile(r"(?<!\S)(?:\w\s+){3,}\w(?!\S)")
-_CODES: dict[str, int] = {}
+_CODES = np.full(0x110000, -1, np.int16)  # by code point; -1 was not met yet
 
 
 def _code(c: str) -> int:
     """1 to 26 for a to z in either case, 27 to 229 for other letters, else 0."""
-    if (known := _CODES.get(c)) is None:
-        low = c.lower()[:1]
-        known = ord(low) - 96 if "a" <= low <= "z" else (27 + ord(low) % 203 if low.isalpha() else 0)
-        _CODES[c] = known
-    return known
+    low = c.lower()[:1]
+    return ord(low) - 96 if "a" <= low <= "z" else (27 + ord(low) % 203 if low.isalpha() else 0)
+
+
+def _coded(words: list[str], gap: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of words between their borders, and where each begins.
+
+    ``gap`` zeros follow each word.
+    """
+    points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+    if (new := np.unique(points[_CODES[points] < 0])).size:
+        _CODES[new] = [_code(chr(p)) for p in new]
+    length = np.array([len(w) for w in words])
+    start = np.cumsum(length + 2 + gap) - length - 2 - gap
+    out = np.zeros(int(length.sum()) + len(words) * (2 + gap), np.int64)
+    out[start], out[start + length + 1] = FIRST, LAST
+    out[np.repeat(start + 1 - np.cumsum(length) + length, length) + np.arange(len(points))] = _CODES[points]
+    return out, start
 
 
 def sentences(text: str | None) -> list[list[str]]:
     """Sentences of a text as lower-cased words; spelled-out words are joined."""
     out = []
-    for s in SENTENCE.split(text.lower()) if text else ():
+    for s in (SENTENCE if "|" in text else PLAIN).split(text.lower()) if text else ():
         if " " in s and SPELLED.search(s):
             s += " " + " ".join("".join(m[0].split()) for m in SPELLED.finditer(s))
         w = s.split()
@@ -84,7 +101,7 @@ def _parts(words: list[str]) -> tuple[list[str], np.ndarray]:
 def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word, three-letter subsequence and weight, for words of unit length."""
     length = np.array([len(w) + 2 for w in words])
-    c = np.array([x for w in words for x in (FIRST, *map(_code, w), LAST)], np.int64)
+    c, _ = _coded(words)
     owner = np.repeat(np.arange(len(words)), length)
     end = np.repeat(np.cumsum(length), length)
     place = np.arange(len(c))
@@ -94,7 +111,7 @@ def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             at = place[place + k < end]
             a, b, d = c[at], c[at + j], c[at + k]
             good = (a > 0) & (b > 0) & (d > 0)
-            keys.append(owner[at[good]] << 15 | (a[good] * 20011 + b[good] * 307 + d[good] * 17) % TRIPLES)
+            keys.append(owner[at[good]] << 15 | (a[good] * FACTORS[0] + b[good] * FACTORS[1] + d[good] * FACTORS[2]) % TRIPLES)
             weights.append(np.full(int(good.sum()), DECAY ** (k - 2)))
     key, weight = np.concatenate(keys), np.concatenate(weights)
     order = np.argsort(key, kind="stable")
@@ -119,15 +136,29 @@ class Machine:
         order = np.argsort(seq, kind="stable")
         self.of_seq, self.seq_weight = word[order], weight[order]
         self.seq_at = np.searchsorted(seq[order], np.arange((1 << 15) + 1))
+        some = np.zeros(TRIPLES, bool)
+        some[seq] = True
+        self.met = np.r_[np.tile(some, 3), np.zeros(9 * TRIPLES, bool)]  # by sum of TERMS
         values, vectors = np.linalg.eigh(self.evidence(landmarks)) if n else (np.zeros(0), np.zeros((0, 0)))
         self.white = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-2))) @ vectors.T
         self.weight, self.bias = np.zeros(n), 0.0
         self.slope, self.offset = 0.0, 0.0
         self.knots: tuple[np.ndarray, np.ndarray] | None = None
-        self._known: dict[str, float] = {}
+        self._known: set[str] = set()
+        self._told: dict[str, float] = {}  # what those with evidence add
 
     def __getstate__(self):
-        return self.__dict__ | {"_known": {}}
+        return self.__dict__ | {"_known": set(), "_told": {}}
+
+    def _shared(self, word: np.ndarray, seq: np.ndarray, weight: np.ndarray, n_words: int) -> np.ndarray:
+        """Products of the weights of words with those of the landmarks, added up."""
+        n = len(self.landmarks)
+        lists = self.seq_at[seq + 1] - self.seq_at[seq]
+        some = np.flatnonzero(lists)
+        word, weight, lists, first = word[some], weight[some], lists[some], self.seq_at[seq[some]]
+        at = np.repeat(first - np.cumsum(lists) + lists, lists) + np.arange(lists.sum())
+        cell = np.repeat(word, lists) * n + self.of_seq[at]
+        return np.bincount(cell, np.repeat(weight, lists) * self.seq_weight[at], n_words * n).reshape(-1, n)
 
     def kernel(self, words: list[str]) -> np.ndarray:
         """Kernel values of words with the landmarks, 1 for equal words.
@@ -138,20 +169,43 @@ class Machine:
         out = np.zeros((len(words), n))
         if len(words) and n:
             parts, owner = _parts(words)
-            word, seq, weight = subsequences(parts)
-            lists = self.seq_at[seq + 1] - self.seq_at[seq]
-            some = np.flatnonzero(lists)
-            word, weight, lists, first = word[some], weight[some], lists[some], self.seq_at[seq[some]]
-            at = np.repeat(first - np.cumsum(lists) + lists, lists) + np.arange(lists.sum())
-            cell = np.repeat(word, lists) * n + self.of_seq[at]
-            got = np.bincount(cell, np.repeat(weight, lists) * self.seq_weight[at], len(parts) * n).reshape(-1, n)
+            got = self._shared(*subsequences(parts), len(parts))
             np.maximum.at(out, owner, got) if len(parts) > len(words) else out.__setitem__(owner, got)
         return out
 
+    def near(self, words: list[str]) -> np.ndarray:
+        """Places of all words with a kernel value of FLOOR, and of few others.
+
+        A word's subsequences are taken as they come. Only its length needs
+        repeated ones added up first, and is the smaller without that, so the
+        value compared is at least the kernel's. Words that the kernel takes in
+        parts always stay.
+        """
+        short = np.flatnonzero(np.array([len(w) for w in words], int) <= MAX_WORD)
+        if not len(short) or not self.landmarks:
+            return np.arange(len(words))
+        c, start = _coded([words[i] for i in short], SPAN - 1)
+        owner = np.repeat(np.arange(len(start)), np.diff(np.r_[start, len(c)]))
+        a, b, d = (t[c] for t in TERMS)
+        size, places, seqs, weights = np.zeros(len(c), np.float32), [], [], []
+        for j in range(1, SPAN - 1):
+            for k in range(j + 1, SPAN):
+                n = len(c) - k
+                total = a[:n] + b[j : j + n] + d[k:]
+                size[:n] += (total < 3 * TRIPLES) * np.float32(DECAY ** (2 * k - 4))
+                places.append(np.flatnonzero(self.met[total]))
+                seqs.append(total[places[-1]] % TRIPLES)
+                weights.append(np.full(len(places[-1]), DECAY ** (k - 2)))
+        got = self._shared(owner[np.concatenate(places)], np.concatenate(seqs), np.concatenate(weights), len(start)).max(1)
+        far = short[got < 0.999 * FLOOR * np.sqrt(np.add.reduceat(size, start)) + 1e-12]
+        return np.delete(np.arange(len(words)), far)
+
     def evidence(self, words: list[str]) -> np.ndarray:
         """The power of the kernel values, which the sentence kernel adds up."""
-        k = np.minimum(self.kernel(words), 1)
-        return np.where(k < FLOOR, 0, k**POWER)
+        out, near = np.zeros((len(words), len(self.landmarks))), self.near(words)
+        k = np.minimum(self.kernel([words[i] for i in near]), 1)
+        out[near] = np.where(k < FLOOR, 0, k**POWER)
+        return out
 
     def describe(self, parts: list[list[str]], row: dict[str, int], kept: np.ndarray) -> np.ndarray:
         """Kernel values of a document's sentences with the landmarks.
@@ -190,10 +244,10 @@ class Machine:
         """
         row, kept = {}, [np.zeros((1, len(self.landmarks)))]
         words = list(dict.fromkeys(w for d, _ in docs for s in d for w in s))
-        for i in range(0, len(words), 4000):
-            z = self.evidence(words[i : i + 4000])
+        for i in range(0, len(words), TURN):
+            z = self.evidence(words[i : i + TURN])
             some = np.cumsum(z.any(1))
-            row.update(zip(words[i : i + 4000], np.where(z.any(1), some + sum(map(len, kept)) - 1, 0).tolist(), strict=True))
+            row.update(zip(words[i : i + TURN], np.where(z.any(1), some + sum(map(len, kept)) - 1, 0).tolist(), strict=True))
             kept.append(z[z.any(1)])
         kept = np.concatenate(kept)
         described = [self.describe(d, row, kept) @ self.white for d, _ in docs]
@@ -242,6 +296,7 @@ class Machine:
     def forget(self) -> None:
         """Let go of the words met so far."""
         self._known.clear()
+        self._told.clear()
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         """Score of each whole text.
@@ -249,20 +304,24 @@ class Machine:
         Features are sums over words, so each word adds one number to the
         margin of its sentence.
         """
-        known, out = self._known, np.zeros(len(texts))
+        known, told, out = self._known, self._told, np.zeros(len(texts))
         toward = self.white @ self.weight
         for i in range(0, len(texts), 256):
             docs = [sentences(t) for t in texts[i : i + 256]]
-            new = {w for d in docs for s in d for w in s if w not in known}
+            words = set().union(*(s for d in docs for s in d))
+            new = words.difference(known)
             if len(known) + len(new) > CACHE:
-                known.clear()
-                new = {w for d in docs for s in d for w in s}
+                self.forget()
+                new = words
+            known |= new
             new = list(new)
-            for k in range(0, len(new), 4000):
-                part = new[k : k + 4000]
-                known.update(zip(part, (self.evidence(part) @ toward).tolist(), strict=True))
-            get = known.__getitem__
-            out[i : i + 256] = [max((sum(map(get, s)) for s in d), default=0.0) for d in docs]
+            for k in range(0, len(new), TURN):
+                part = new[k : k + TURN]
+                z = self.evidence(part)
+                some = np.flatnonzero(z.any(1))
+                told.update(zip([part[j] for j in some], (z[some] @ toward).tolist(), strict=True))
+            none, get = told.keys().isdisjoint, told.get
+            out[i : i + 256] = [max((0.0 if none(s) else sum(get(w, 0.0) for w in s) for s in d), default=0.0) for d in docs]
         return self.probability(out + self.bias)
 
 

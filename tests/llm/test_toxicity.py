@@ -103,3 +103,21 @@ def test_rows(spark):
     assert len(got) == 302 and all(0 <= r.score <= 1 and r.held_out == (shared.py_remainder(r.doc_id, 4) == 2) for r in got)
     assert toxicity.score_corpus(docs.limit(0), labels).count() == 0
     assert toxicity.score_corpus(docs, labels.limit(0)).count() == 302
+
+
+def test_kernel_is_spared_words_without_evidence(monkeypatch):
+    m = machine()
+    words = list({w for t, _ in labelled(100, 9) for s in toxicity.sentences(t) for w in s})
+    words += ["", "%%", "a", "aaaa", "i*d*i*o*t", "𝔦diot", "idiöt", "idiotidiotidiot", "x" * 90, "x" * 70 + "moron", "x" * 64]
+    k = np.minimum(m.kernel(words), 1)
+    want = np.where(k < toxicity.FLOOR, 0, k**toxicity.POWER)
+    seen, kernel = [], m.kernel
+    monkeypatch.setattr(m, "kernel", lambda w: seen.extend(w) or kernel(w))
+    assert (m.evidence(words) == want).all() and want.any()
+    assert len(seen) < len(words) / 2
+
+
+def test_both_ways_to_split_agree():
+    rnd = random.Random(4)
+    texts = ["".join(rnd.choice("ab.!?\n\r\t  \x85") for _ in range(30)) for _ in range(5000)]
+    assert all(toxicity.PLAIN.split(t) == toxicity.SENTENCE.split(t) for t in texts)
